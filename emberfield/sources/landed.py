@@ -25,15 +25,18 @@ def _text_schema(columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
-def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON pages (arrays of objects or one object per line) concatenated."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON pages concatenated: arrays of objects, or with ``lines`` one object per line.
+
+    An array page is one task; files of lines are split, so large landings should use lines.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_incident_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_incident_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Incident pages: required fields present, times parsed, missing counts as zero."""
     raw = read_pages(spark, path, _text_schema(
-        [*K.INCIDENT_TEXT, *K.INCIDENT_TIMES, *K.INCIDENT_COUNTS]))
+        [*K.INCIDENT_TEXT, *K.INCIDENT_TIMES, *K.INCIDENT_COUNTS]), lines)
     return type_incidents(raw.where(
         F.col("neighborhood_district").isNotNull() & F.col("arrival_dttm").isNotNull()))
 
@@ -45,9 +48,9 @@ def type_incidents(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def read_crosswalk_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_crosswalk_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Tract to neighborhood pairs with padded ids and normalised names."""
-    raw = read_pages(spark, path, "geoid string, neighborhoods_analysis_boundaries string")
+    raw = read_pages(spark, path, "geoid string, neighborhoods_analysis_boundaries string", lines)
     renamed = raw.withColumnsRenamed({"neighborhoods_analysis_boundaries": "neighborhood"})
     return renamed.select(zero_pad(F.col("geoid"), K.TRACT_ID_WIDTH).alias("geoid"),
                           title_case(F.col("neighborhood")).alias("neighborhood"))
@@ -103,18 +106,18 @@ def read_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return census_measures(outer_merge(parts, ["geoid"]))
 
 
-def read_crime_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_crime_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Monthly counts in their raw columns."""
     columns = ["by_month_incident_date", "analysis_neighborhood", "incident_category", "count"]
-    raw = read_pages(spark, path, _text_schema(columns))
+    raw = read_pages(spark, path, _text_schema(columns), lines)
     return (raw.where(F.col("analysis_neighborhood").isNotNull())
             .withColumn("count", to_number_or_zero(F.col("count"))))
 
 
-def read_parcel_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_parcel_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Parcels with geometry; implausible construction years are missing."""
     raw = read_pages(spark, path, "the_geom struct<type:string,coordinates:string>, "
-                     + _text_schema(["blklot", "yrbuilt", "landuse", "resunits", "st_area_sh"]))
+                     + _text_schema(["blklot", "yrbuilt", "landuse", "resunits", "st_area_sh"]), lines)
     return type_parcels(raw.where(F.col("the_geom").isNotNull()))
 
 
