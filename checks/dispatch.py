@@ -8,7 +8,7 @@ from checks.facts import GAPS_SQL, event_gaps
 from checks.registry import Tables, check, r_sql, round_columns
 from emberfield.plans import dispatch as D
 
-MINUTES_SQL = "(epoch_us(next_ts) - epoch_us(ts)) / 6e7"
+MINUTES_SQL = "(epoch_us(next_ts) - epoch_us(ts)) / 1e6 / 60"
 
 
 @check("shift_counts", "SELECT CAST(ts - INTERVAL 8 HOUR AS DATE) AS shift, count(*) AS n FROM events GROUP BY 1")

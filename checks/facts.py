@@ -24,12 +24,12 @@ FLAGS_SQL = """CAST(hour({ts}) AS INTEGER) AS hour, CAST(isodow({ts}) - 1 AS INT
 
 @check("prepared_facts", f"""
 SELECT l_orderkey, l_linenumber, l_partkey,
-       (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 6e7 AS response_time_min,
+       (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6 / 60 AS response_time_min,
        CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
        {FLAGS_SQL.format(ts='o_orderdate')},
        {title_sql('o_orderpriority')} AS neighborhood
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 6e7 BETWEEN 0 AND {60 * DAY}
+WHERE (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6 / 60 BETWEEN 0 AND {60 * DAY}
 """)
 def prepared_facts(t: Tables):
     facts = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -63,7 +63,7 @@ GAPS_SQL = """(SELECT a.event_id, a.event_type, a.user_id, a.ts, b.ts AS next_ts
 
 
 @check("elapsed_minutes", f"""
-SELECT event_id, (epoch_us(next_ts) - epoch_us(ts)) / 6e7 AS minutes,
+SELECT event_id, (epoch_us(next_ts) - epoch_us(ts)) / 1e6 / 60 AS minutes,
        trunc((epoch_us(next_ts) - epoch_us(ts)) / 1e6) / 60.0 AS whole_minutes
 FROM {GAPS_SQL}
 """)

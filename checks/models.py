@@ -39,7 +39,8 @@ SELECT CASE WHEN x <= e1 THEN 'q1' WHEN x <= e2 THEN 'q2' WHEN x <= e3 THEN 'q3'
 FROM j, e GROUP BY 1
 """)
 def quartiles(t: Tables):
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = materialize(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+                         .select("c_acctbal", "o_totalprice"), "balances")
     return round_columns(quartile_profile(joined, "c_acctbal", "o_totalprice"), ["mean", "median"])
 
 

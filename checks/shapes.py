@@ -65,13 +65,13 @@ def centroids(t: Tables):
     hole = ring((x + 1, y + 1), (x + 1, y + 3), (x + 3, y + 3), (x + 3, y + 1))
     triangle = ring((x + 20, y), (x + 20, y + 3), (x + 26, y))
     shape = F.array(F.array(square, hole), F.array(triangle))
-    point = t.customer.select("c_custkey", centroid(shape).alias("p"))
-    return round_columns(point.select("c_custkey", F.col("p.x").alias("x"), F.col("p.y").alias("y")), ["x", "y"], 6)
+    shapes = t.customer.select("c_custkey", F.explode(F.array(shape)).alias("shape"))
+    return round_columns(shapes.select("c_custkey", F.inline(F.array(centroid(F.col("shape"))))), ["x", "y"], 6)
 
 
 @check("geojson_geometry", """
-SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN NULL ELSE s_nationkey + 2.0 END AS x,
-       CASE WHEN s_nationkey < 5 THEN NULL ELSE s_suppkey + 1.0 END AS y FROM supplier
+SELECT s_suppkey, CAST(CASE WHEN s_nationkey >= 5 THEN s_nationkey + 2 END AS DOUBLE) AS x,
+       CAST(CASE WHEN s_nationkey >= 5 THEN s_suppkey + 1 END AS DOUBLE) AS y FROM supplier
 """)
 def geojson(t: Tables):
     """Rectangles written as GeoJSON text, of both kinds; points have no area."""
@@ -84,8 +84,8 @@ def geojson(t: Tables):
     kind = F.when(x < 5, "Point").when(x < 15, "Polygon").otherwise("MultiPolygon")
     text = (F.when(x < 5, point(x, y)).when(x < 15, outline)
             .otherwise(F.concat(F.lit("["), outline, F.lit("]"))))
-    p = t.supplier.select("s_suppkey", centroid(parse_geometry(kind, text)).alias("p"))
-    return p.select("s_suppkey", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    shapes = t.supplier.select("s_suppkey", F.explode(F.array(parse_geometry(kind, text))).alias("shape"))
+    return shapes.select("s_suppkey", F.inline(F.array(centroid(F.col("shape")))))
 
 
 def nation_boxes(t: Tables):

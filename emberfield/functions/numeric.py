@@ -62,20 +62,17 @@ def below_flag(c: Column, limit: float) -> Column:
     return F.coalesce(c < limit, F.lit(False)).cast("int")
 
 
-def code_bin(code: Column) -> Column:
-    """Label of the hundred a code falls into; below 100 and from 800 on null."""
-    label = F.lit(None).cast("string")
-    for i, name in enumerate(CODE_BIN_LABELS, start=1):
-        label = F.when((code >= 100 * i) & (code < 100 * (i + 1)), F.lit(name)).otherwise(label)
-    return label
-
-
 def code_bin_rank(code: Column) -> Column:
-    """Ordinal of :func:`code_bin`, for sorting."""
+    """1 for codes 100-199 up to 7 for 700-799; other codes null."""
     inside = (code >= 100) & (code < 100 * (len(CODE_BIN_LABELS) + 1))
     return F.when(inside, F.floor(code / 100)).cast("int")
 
 
+def code_bin(code: Column) -> Column:
+    """Label of the hundred a code falls into; below 100 and from 800 on null."""
+    return F.elt(code_bin_rank(code), *[F.lit(name) for name in CODE_BIN_LABELS])
+
+
 def nearest_year(year: Column, years: Sequence[int]) -> Column:
     """The listed year closest to ``year``; a tie goes to the earlier one, a null year stays null."""
     ordered = sorted(years)

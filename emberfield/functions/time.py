@@ -10,7 +10,7 @@ from emberfield.constants import ISO_MILLIS_PATTERN
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
     """Minutes between two instants, fractions of a second kept."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(6e7)
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6) / F.lit(60.0)
 
 
 def elapsed_whole_minutes(start: Column, end: Column) -> Column:

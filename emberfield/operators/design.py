@@ -63,10 +63,11 @@ def model_input(
     bounds: tuple[float, float] = (0.0, 60.0),
 ) -> DataFrame:
     """Rows inside the open response range, with code and code bin, complete in all columns used."""
-    coded = (exclusive_range(df, response, *bounds)
-             .withColumn("incident_code", leading_code(F.col(situation)))
+    # Plain columns are filtered first, before any code is cut out of text.
+    usable = complete_cases(exclusive_range(df, response, *bounds), [*required, response])
+    coded = (usable.withColumn("incident_code", leading_code(F.col(situation)))
              .withColumn("incident_category", code_bin(F.col("incident_code"))))
-    return complete_cases(coded, [*required, response, "incident_category"])
+    return complete_cases(coded, ["incident_category"])
 
 
 def model_input_counts(df: DataFrame, response: str = "response_time_min",
@@ -80,13 +81,13 @@ def model_input_counts(df: DataFrame, response: str = "response_time_min",
 def with_quartile(df: DataFrame, column: str, out: str = "quartile") -> DataFrame:
     """Add q1..q4 by the linear quartiles of the column: right-closed, the minimum in q1.
 
-    Ties stay together, so groups may differ in size; equal edges leave a group empty.
+    Ties stay together, so groups may differ in size; equal edges leave a group empty. The three
+    edges are computed here and enter the plan as literals, so later passes do not repeat them.
     """
-    edges = exact_quantiles(df, column, {"e1": 0.25, "e2": 0.5, "e3": 0.75})
-    e = edges.select(F.struct("e1", "e2", "e3").alias("e")).scalar()
+    e = exact_quantiles(df, column, {"e1": 0.25, "e2": 0.5, "e3": 0.75}).first()
     c = F.col(column)
-    return df.withColumn(out, F.when(c <= e["e1"], "q1").when(c <= e["e2"], "q2")
-                         .when(c <= e["e3"], "q3").when(c.isNotNull(), "q4"))
+    return df.withColumn(out, F.when(c <= F.lit(e["e1"]), "q1").when(c <= F.lit(e["e2"]), "q2")
+                         .when(c <= F.lit(e["e3"]), "q3").when(c.isNotNull(), "q4"))
 
 
 def quartile_profile(df: DataFrame, column: str, measure: str) -> DataFrame:

@@ -108,7 +108,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
 def capped_value_counts(df: DataFrame, column: str, q: float = 0.99, few_values: bool = False) -> DataFrame:
     """Counts of whole values up to the ``q`` quantile of the column itself."""
     src = df.select(to_number(F.col(column)).alias("v")).where(F.col("v").isNotNull())
-    cap = exact_quantiles(src, "v", {"cap": q}, rule="nearest", few_values=few_values)
-    return (src.where(F.col("v") <= cap.select("cap").scalar())
+    cap = exact_quantiles(src, "v", {"cap": q}, rule="nearest", few_values=few_values).first()["cap"]
+    return (src.where(F.col("v") <= F.lit(cap))
             .select(truncate(F.col("v")).alias(column))
             .groupBy(column).agg(F.count(F.lit(1)).alias("n")))

@@ -1,44 +1,72 @@
 """Points strictly inside polygons, as an equi-join on grid cells.
 
 A bare "point in polygon" condition plans as a nested loop over all pairs. Here the polygons are
-cut into grid cells once. A candidate cell carries only those polygon edges that matter to a point
-inside it (edges that overlap the cell's band of y and do not lie wholly to its left), so the
-exact test per point stays short for detailed outlines. Points get their cell from two floors and
-are not expanded.
+cut into grid cells once. A cell wholly inside a polygon needs no further test. A cell on the
+outline carries only those edges that matter to a point in it (edges that overlap its band of y and
+do not lie wholly to its left), so the exact test stays short for detailed outlines. Points get
+their cell from two floors and are not expanded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.functions.geometry import polygon_edges, strictly_inside
+from emberfield.functions.geometry import centroid, parse_geometry, polygon_edges, strictly_inside
 from emberfield.session import materialize
 
 
+def with_centroid(df: DataFrame, kind: Column, coordinates: Column, keep: Sequence[str]) -> DataFrame:
+    """``keep`` plus centroid ``x``, ``y`` of GeoJSON geometries; rows without one drop out.
+
+    The generators are evaluated once per row, and a filter on their output cannot be copied below
+    them, so each geometry is parsed once and folded once.
+    """
+    shapes = df.select(*keep, F.explode(F.array(parse_geometry(kind, coordinates))).alias("_shape"))
+    points = shapes.select(*keep, F.inline(F.array(centroid(F.col("_shape")))))
+    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def polygon_cells(polygons: DataFrame, geometry: str, step: float) -> DataFrame:
-    """One row per polygon and grid cell it may cover: ``_cx``, ``_cy``, ``_edges``, other columns."""
+    """One row per polygon and grid cell it covers: ``_cx``, ``_cy``, ``_edges``, other columns.
+
+    ``_edges`` is null for a cell wholly inside; cells wholly outside are left out.
+    """
     others = [c for c in polygons.columns if c != geometry]
-    edges = polygons.select(*others, polygon_edges(F.col(geometry)).alias("_edges"))
-    xs = F.transform("_edges", lambda e: e["x1"])
-    ys = F.transform("_edges", lambda e: e["y1"])
-
-    def cells(values) -> tuple:
-        return (F.floor(F.array_min(values) / step), F.floor(F.array_max(values) / step))
-
-    (x0, x1), (y0, y1) = cells(xs), cells(ys)
-    rows = (edges.where(F.size("_edges") > 0)
-            .withColumn("_cx_range", F.sequence(x0, x1))
-            .withColumn("_cy", F.explode(F.sequence(y0, y1)))
-            # First keep the edges of the row of cells, then per cell those not left of it.
-            .withColumn("_edges", F.filter("_edges", lambda e: (
-                F.greatest(e["y1"], e["y2"]) >= F.col("_cy") * F.lit(step))
-                & (F.least(e["y1"], e["y2"]) <= (F.col("_cy") + 1) * F.lit(step))))
-            .withColumn("_cx", F.explode("_cx_range"))
-            .withColumn("_edges", F.filter("_edges", lambda e: (
-                F.greatest(e["x1"], e["x2"]) >= F.col("_cx") * F.lit(step))))
-            .where(F.size("_edges") > 0))
-    return rows.select(*others, "_cx", "_cy", "_edges")
+    edges = polygons.select(*others, F.explode(F.array(polygon_edges(F.col(geometry)))).alias("_all"))
+    xs, ys = F.transform("_all", lambda e: e["x1"]), F.transform("_all", lambda e: e["y1"])
+    # Bounds of the cell; the small widening covers the rounding of floor(x / step).
+    slack = step * 1e-9
+    left, bottom = F.col("_cx") * F.lit(step) - slack, F.col("_cy") * F.lit(step) - slack
+    right, top = left + step + 2 * slack, bottom + step + 2 * slack
+
+    def in_band(e: Column) -> Column:
+        return (F.greatest(e["y1"], e["y2"]) >= bottom) & (F.least(e["y1"], e["y2"]) <= top)
+
+    def not_left(e: Column) -> Column:
+        return F.greatest(e["x1"], e["x2"]) >= left
+
+    def meets_cell(e: Column) -> Column:
+        """Not beyond the right side, and not all four corners strictly on one side of the edge."""
+        corners = [(e["x2"] - e["x1"]) * (cy - e["y1"]) - (e["y2"] - e["y1"]) * (cx - e["x1"])
+                   for cx in (left, right) for cy in (bottom, top)]
+        return ((F.least(e["x1"], e["x2"]) <= right)
+                & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+
+    rows = (edges.where(F.size("_all") > 0)
+            .withColumns({"_x0": F.floor(F.array_min(xs) / step), "_x1": F.floor(F.array_max(xs) / step)})
+            .withColumn("_cy", F.explode(F.sequence(F.floor(F.array_min(ys) / step),
+                                                    F.floor(F.array_max(ys) / step))))
+            .withColumn("_band", F.explode(F.array(F.filter("_all", in_band))))
+            .withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
+            .withColumn("_near", F.explode(F.array(F.filter("_band", not_left))))
+            .where(F.size("_near") > 0)
+            .withColumn("_border", F.exists("_near", meets_cell)))
+    middle = strictly_inside(left + step / 2, bottom + step / 2, F.col("_near"))
+    return (rows.where(F.col("_border") | middle)
+            .select(*others, "_cx", "_cy", F.when(F.col("_border"), F.col("_near")).alias("_edges")))
 
 
 def grid_step(polygons: DataFrame, geometry: str, cells_per_axis: int = 64) -> float:
@@ -68,7 +96,7 @@ def join_within(
     cells = materialize(polygon_cells(polygons, geometry, step), "polygon-cells")
     px, py = points[x], points[y]
     match = ((F.floor(px / step) == cells["_cx"]) & (F.floor(py / step) == cells["_cy"])
-             & strictly_inside(px, py, cells["_edges"]))
+             & (cells["_edges"].isNull() | strictly_inside(px, py, cells["_edges"])))
     return points.join(cells, match, "left").drop("_cx", "_cy", "_edges")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfield import constants as K
-from emberfield.functions.geometry import centroid, parse_geometry
 from emberfield.functions.numeric import safe_ratio, to_whole
 from emberfield.functions.text import title_case
 from emberfield.functions.time import elapsed_minutes, is_night, is_weekend
@@ -16,7 +15,7 @@ from emberfield.operators.columns import require_columns
 from emberfield.operators.nearest import attach_snapshot
 from emberfield.operators.profile import null_profile
 from emberfield.operators.rollup import census_rollup, crime_rollup, parcel_rollup
-from emberfield.operators.spatial import join_within
+from emberfield.operators.spatial import join_within, with_centroid
 from emberfield.session import materialize
 
 RAW_MEASURES = [
@@ -56,12 +55,8 @@ def locate_parcels(parcels: DataFrame, polygons: DataFrame, step: float | None =
 
 def locate_parcels_left(parcels: DataFrame, polygons: DataFrame, step: float | None = None) -> DataFrame:
     """Like :func:`locate_parcels` with unmatched parcels kept (for the match rate)."""
-    shape = parse_geometry(F.col("the_geom.type"), F.col("the_geom.coordinates"))
-    points = (parcels.withColumn("_point", centroid(shape))
-              .where(F.col("_point").isNotNull())
-              .select(*[c for c in ("blklot", "yrbuilt", "landuse", "resunits", "st_area_sh")
-                        if c in parcels.columns],
-                      F.col("_point.x").alias("x"), F.col("_point.y").alias("y")))
+    keep = [c for c in ("blklot", "yrbuilt", "landuse", "resunits", "st_area_sh") if c in parcels.columns]
+    points = with_centroid(parcels, F.col("the_geom.type"), F.col("the_geom.coordinates"), keep)
     return join_within(points, polygons, step=step)
 
 
