@@ -56,6 +56,8 @@ class Fit:
 
     @property
     def rsquared_adj(self) -> float:
+        if self.df_resid <= 0:
+            return float("nan")
         return 1 - (1 - self.rsquared) * (self.n - 1) / self.df_resid
 
     @property
@@ -89,17 +91,32 @@ class Fit:
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
-    """P(F > f): the regularised incomplete beta function by its continued fraction."""
+    """P(F > f): the regularised incomplete beta function by its continued fraction.
+
+    With very many rows the chi-square limit is used, whose error is of the order 1 / d2.
+    """
     if not f == f or d2 <= 0:
         return float("nan")
     if f <= 0:
         return 1.0
+    if d2 > 1e6:
+        return _chi2_tail(d1 * f, int(d1))
     x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
     if x > (a + 1) / (a + b + 2):
         return 1.0 - _beta_front(1 - x, b, a)
     return _beta_front(x, a, b)
 
 
+def _chi2_tail(x: float, k: int) -> float:
+    """P(chi-square with k degrees > x) by the recurrence from 1 or 2 degrees upwards."""
+    half = x / 2
+    tail, s = (erfc(sqrt(half)), 0.5) if k % 2 else (exp(-half), 1.0)
+    while s < k / 2:
+        tail += exp(s * log(half) - half - lgamma(s + 1))
+        s += 1
+    return tail
+
+
 def _beta_front(x: float, a: float, b: float) -> float:
     if x <= 0:
         return 0.0
@@ -277,12 +294,12 @@ def fit_ols(
             g = n_clusters[s]
             cov_m = inv @ meats[s] @ inv * (g / (g - 1)) * ((n - 1) / (n - p))
         else:
-            cov_m = inv * ssr[s] / (n - p)
+            cov_m = inv * (ssr[s] / (n - p) if n > p else float("nan"))
         coef = fit["beta"].copy()
         coef[0] += centre[s]
         out[s] = Fit(
             s, [CONST, *names, *[f"{prefix}_{v}" for v in fit["kept"]]], coef, cov_m, n,
-            1 - ssr[s] / fit["syy"] if fit["syy"] else float("nan"), cov != "classic",
+            float(1 - ssr[s] / fit["syy"]) if fit["syy"] else float("nan"), cov != "classic",
             full.get(s, 0), n_clusters.get(s), moments=fit)
     return out
 
