@@ -187,7 +187,7 @@ WHERE m BETWEEN 0 AND 480 GROUP BY 1
 """)
 def responses(t: Tables):
     minutes = event_gaps(t).select("event_type", elapsed_whole_minutes(F.col("ts"), F.col("next_ts")).alias("m"))
-    profiled = duration_profile(minutes.where(F.col("m").between(0, 480)), "m", ["event_type"])
+    profiled = duration_profile(minutes.where(F.col("m").between(0, 480)), "m", ["event_type"], few_values=True)
     return round_columns(profiled, ["mean", "median"])
 
 

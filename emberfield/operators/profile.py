@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfield.functions.numeric import completeness_grade, to_number
 from emberfield.functions.time import elapsed_whole_minutes
 from emberfield.operators.quantiles import exact_quantiles
-from emberfield.session import materialize
 
 
 def _one_row_to_long(row: DataFrame, columns: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -84,50 +84,27 @@ def response_profile(
 ) -> DataFrame:
     """n, mean, median, p90, p95 and max of elapsed minutes per (label, start, end) pair.
 
-    Whole seconds, 0..``limit`` minutes. The median interpolates; p90 and p95 take the nearest
-    rank. The number of distinct values is bounded by the range (60 per minute), so exact counts
-    per value are small however many rows there are.
+    Whole seconds, 0..``limit`` minutes.
     """
     minutes = df.select(*[
         elapsed_whole_minutes(F.col(start), F.col(end)).alias(label) for label, start, end in pairs
     ]).unpivot([], [label for label, _, _ in pairs], "label", "minutes")
-    return duration_profile(minutes.where(F.col("minutes").between(0, limit)), "minutes", ["label"])
+    return duration_profile(minutes.where(F.col("minutes").between(0, limit)), "minutes", ["label"],
+                            few_values=limit <= 1440)
 
 
-def duration_profile(df: DataFrame, minutes: str, by: Sequence[str]) -> DataFrame:
-    """The profile of :func:`response_profile` for ready whole-second minutes, per group."""
-    m = F.col(minutes)
-    counted = materialize(
-        df.groupBy(*by, m.alias("minutes")).agg(F.count(F.lit(1)).alias("c")), "minutes")
-    basics = counted.groupBy(*by).agg(
-        F.sum("c").alias("n"), (F.sum(F.col("minutes") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.max("minutes").alias("max"))
-    return basics.join(weighted_ranks(counted, "minutes", "c", by), list(by)).select(
-        *by, "n", "mean", "median", "p90", "p95", "max")
-
-
-def weighted_ranks(counted: DataFrame, value: str, count: str, by: Sequence[str]) -> DataFrame:
-    """median (linear), p90 and p95 (nearest rank) from a table of value counts.
+def duration_profile(
+    df: DataFrame, minutes: str, by: Sequence[str], few_values: bool = False,
+) -> DataFrame:
+    """The profile of :func:`response_profile` for ready minutes, per group.
 
-    For measures with a bounded number of distinct values only: the running count per group is
-    one ordered pass over those values.
+    The median interpolates; p90 and p95 take the nearest rank. Whole seconds within a day have so
+    few distinct values (60 per minute) that they can be counted directly: ``few_values``.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c, end, n = F.col(count), F.col("_end"), F.col("_n")
-    ranked = (counted.withColumn("_end", F.sum(count).over(order))
-              .withColumn("_n", F.sum(count).over(Window.partitionBy(*by))))
-
-    def at(k: Column) -> Column:
-        return F.max(F.when((k >= end - c) & (k < end), F.col(value)))
-
-    def nearest(q: float) -> Column:
-        return at(F.floor(F.lit(q) * (n - 1) + 0.5))
-
-    return ranked.groupBy(*by).agg(
-        ((at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2).alias("median"),
-        nearest(0.90).alias("p90"), nearest(0.95).alias("p95"))
+    return exact_quantiles(
+        df, minutes, {"median": 0.5, "p90": (0.90, "nearest"), "p95": (0.95, "nearest")}, by=by,
+        extra=[F.avg(minutes).alias("mean"), F.max(minutes).alias("max")], few_values=few_values,
+    ).select(*by, "n", "mean", "median", "p90", "p95", "max")
 
 
 def casualty_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,8 +124,6 @@ def schema_table(df: DataFrame) -> DataFrame:
 
 def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and number of columns per table."""
-    from functools import reduce
-
     parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
                     F.lit(len(df.columns)).alias("columns")) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)

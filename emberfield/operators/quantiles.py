@@ -30,7 +30,7 @@ SLICES = 1024
 def exact_quantiles(
     df: DataFrame,
     value: str | Column,
-    probs: dict[str, float],
+    probs: dict[str, float | tuple[float, str]],
     by: Sequence[str] = (),
     rule: str = "linear",
     extra: Sequence[Column] = (),
@@ -40,7 +40,7 @@ def exact_quantiles(
     """One row per group with the columns ``by``, ``n``, one per quantile, and ``extra``.
 
     ``rule="linear"`` interpolates at ``q * (n - 1)``; ``rule="nearest"`` takes the element with
-    that rank rounded half up. ``n`` counts usable values (nulls and NaN are left out; a null group
+    that rank rounded half up; a pair ``(q, rule)`` sets it for one quantile. ``n`` counts usable values (nulls and NaN are left out; a null group
     key is a group). ``extra`` are aliased aggregates computed over all rows in the first pass.
     ``few_values=True`` is for measures whose number of distinct values is bounded by their
     domain (whole minutes of a bounded range, small counts): the sketch is then skipped.
@@ -49,7 +49,8 @@ def exact_quantiles(
     value = F.col(value) if isinstance(value, str) else value
     src = df.withColumn("_v", to_number(value))
     margin = 4.0 / accuracy
-    cuts = [F.lit(min(1.0, max(0.0, q + side * margin))) for q in probs.values() for side in (-1, 1)]
+    wanted = {name: q if isinstance(q, tuple) else (q, rule) for name, q in probs.items()}
+    cuts = [F.lit(min(1.0, max(0.0, q + side * margin))) for q, _ in wanted.values() for side in (-1, 1)]
     first = [F.count("_v").alias("n"), *extra]
     if not few_values:
         first.append(F.percentile_approx("_v", F.array(*cuts), accuracy).alias("_cut"))
@@ -61,7 +62,7 @@ def exact_quantiles(
     if not few_values:
         rows = _with_cuts(rows, summary, by)
     cells = materialize(_cells(rows, by, len(probs), few_values), "quantile-cells")
-    picked = _pick(cells, by, probs, rule)
+    picked = _pick(cells, by, wanted)
 
     extras = [c for c in summary.columns if c not in (*by, "n", "_cut")]
     if not by:
@@ -104,9 +105,10 @@ def _cells(rows: DataFrame, by: Sequence[str], n_probs: int, few_values: bool) -
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
 
-def _targets(probs: dict[str, float], rule: str, total: Column) -> dict[str, tuple]:
+def _targets(wanted: dict[str, tuple[float, str]], total: Column) -> dict[str, tuple]:
+    """Per quantile the two ranks it lies between and the position between them."""
     out = {}
-    for name, q in probs.items():
+    for name, (q, rule) in wanted.items():
         h = F.lit(float(q)) * (total - 1)
         if rule == "nearest":
             k = F.floor(h + 0.5)
@@ -118,22 +120,23 @@ def _targets(probs: dict[str, float], rule: str, total: Column) -> dict[str, tup
     return out
 
 
-def _pick(cells: DataFrame, by: Sequence[str], probs: dict[str, float], rule: str) -> DataFrame:
+def _pick(cells: DataFrame, by: Sequence[str], wanted: dict[str, tuple[float, str]]) -> DataFrame:
     slice_keys = [*by, "_cell", "_piece"]
     slices = cells.groupBy(*slice_keys).agg(F.sum("_c").alias("_size"))
+    # One row per gap and slice: at most a few thousand per group, whatever the data size.
     ordered = Window.partitionBy(*by).orderBy("_cell", "_piece")
     slices = (slices
               .withColumn("_end", F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("_total", F.sum("_size").over(Window.partitionBy(*by)))
               .withColumn("_start", F.col("_end") - F.col("_size")))
-    targets = _targets(probs, rule, F.col("_total"))
+    targets = _targets(wanted, F.col("_total"))
 
     def holds(k: Column, start: str, end: str) -> Column:
         return (k >= F.col(start)) & (k < F.col(end))
 
-    wanted = reduce(lambda a, b: a | b,
-                    [holds(k, "_start", "_end") for t in targets.values() for k in t[:2]])
-    hits = slices.where(wanted).select(
+    hit = reduce(lambda a, b: a | b,
+                 [holds(k, "_start", "_end") for t in targets.values() for k in t[:2]])
+    hits = slices.where(hit).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(slice_keys)], "_start", "_total")
     inside = Window.partitionBy(*slice_keys).orderBy("_kept")
     ranked = (cells.join(hits, _same_keys(cells, hits, slice_keys), "inner")
@@ -156,4 +159,4 @@ def _pick(cells: DataFrame, by: Sequence[str], probs: dict[str, float], rule: st
     summed = ranked.groupBy(*by).agg(*parts)
     return summed.select(*by, *[
         (F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * F.col(f"_p_{name}"))
-        .alias(name) for name in probs])
+        .alias(name) for name in wanted])

@@ -140,13 +140,14 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 
 def product_sums(df: DataFrame, by: Sequence[str], columns: Sequence[Column],
-                 weight: Column | None = None) -> DataFrame:
+                 weight: Column | None = None, extra: Sequence[Column] = ()) -> DataFrame:
     """Per group: ``s0`` (row count or weight), ``s1_i`` (sums) and ``s2_i_j`` (sums of products)."""
     w = F.lit(1.0) if weight is None else weight
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(w).alias("s0"),
         *[F.sum(w * c).alias(f"s1_{i}") for i, c in enumerate(columns)],
-        *[F.sum(w * columns[i] * columns[j]).alias(f"s2_{i}_{j}") for i, j in _pairs(len(columns))])
+        *[F.sum(w * columns[i] * columns[j]).alias(f"s2_{i}_{j}") for i, j in _pairs(len(columns))],
+        *extra)
 
 
 def _symmetric(row, k: int) -> np.ndarray:
@@ -188,7 +189,7 @@ def fit_ols(
 
     ``cov`` is ``HC3``, ``classic`` or ``cluster`` (sums of scores per ``cluster`` value, without
     category). ``levels`` fixes the dummy order (first is the reference, levels that do not occur
-    get coefficient 0); otherwise the observed levels are sorted. Rows must be complete.
+    get coefficient 0); otherwise the observed levels are sorted. Incomplete rows are left out.
     """
     if cov == "cluster" and (category or not cluster):
         raise ValueError("cluster errors need a cluster column and no category")
@@ -200,7 +201,7 @@ def fit_ols(
         (F.col(category).cast("string") if category else F.lit("")).alias("_g"),
         F.col(y).cast("double").alias("_y"),
         *([F.col(cluster).alias("_cl")] if cluster else []),
-        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)]).dropna()
 
     # Pass 1: location and spread per stratum.
     stats = src.groupBy("_s").agg(F.avg("_y").alias("my"), *[
@@ -277,11 +278,11 @@ def fit_ols(
         meats, ssr, n_clusters = _cluster_meat(resid, xs)
         full: dict[str, int] = {}
     else:
-        sums = product_sums(resid, ["_s", "_g"], xs if cov == "HC3" else [], weight)
-        extra = resid.groupBy("_s", "_g").agg(
-            F.sum(F.col("_e") * F.col("_e")).alias("ssr"), F.count_if(~free).alias("full"))
+        sums = product_sums(
+            resid, ["_s", "_g"], xs if cov == "HC3" else [], weight,
+            [F.sum(F.col("_e") * F.col("_e")).alias("ssr"), F.count_if(~free).alias("full")])
         meats, ssr, full, n_clusters = {}, {}, {}, {}
-        for r in sums.join(extra, ["_s", "_g"]).collect():
+        for r in sums.collect():
             meats.setdefault(r["_s"], {})[r["_g"]] = _symmetric(r, k if cov == "HC3" else 0)
             ssr[r["_s"]] = ssr.get(r["_s"], 0.0) + r["ssr"]
             full[r["_s"]] = full.get(r["_s"], 0) + r["full"]

@@ -69,12 +69,21 @@ def polygon_cells(polygons: DataFrame, geometry: str, step: float) -> DataFrame:
             .select(*others, "_cx", "_cy", F.when(F.col("_border"), F.col("_near")).alias("_edges")))
 
 
-def grid_step(polygons: DataFrame, geometry: str, cells_per_axis: int = 64) -> float:
-    """Cell size that lays about ``cells_per_axis`` cells along the longer side of all polygons."""
-    edges = polygons.select(F.explode(polygon_edges(F.col(geometry))).alias("e"))
-    box = edges.agg(F.max("e.x1") - F.min("e.x1"), F.max("e.y1") - F.min("e.y1")).first()
-    size = max(box[0] or 0.0, box[1] or 0.0)
-    return size / cells_per_axis if size > 0 else 1.0
+def grid_step(polygons: DataFrame, geometry: str, cells_per_polygon: int = 8) -> float:
+    """Cell size: a fraction of the average polygon's longer side, whatever the number of polygons.
+
+    At least 1/1024 of the whole extent, so one huge outline among small ones stays affordable.
+    """
+    edges = polygons.select(F.explode(F.array(polygon_edges(F.col(geometry)))).alias("e"))
+    xs, ys = F.transform("e", lambda e: e["x1"]), F.transform("e", lambda e: e["y1"])
+    boxes = edges.where(F.size("e") > 0).select(
+        F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+        F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    box = boxes.agg(
+        F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("side"),
+        F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("extent")).first()
+    step = max((box["side"] or 0.0) / cells_per_polygon, (box["extent"] or 0.0) / 1024)
+    return step if step > 0 else 1.0
 
 
 def join_within(
