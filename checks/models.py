@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.registry import Tables, check, r_sql, round_columns, rounded
 from checks.rollups import RATES_SQL, order_nations
+from emberfield.functions.time import elapsed_minutes
 from emberfield.operators.design import (
-    model_input, model_input_counts, one_hot, quartile_profile, sample_summary, stratum, zscore)
+    design_matrix, model_input, model_input_counts, one_hot, quartile_profile, sample_summary, stratum, zscore)
 from emberfield.operators.regression import coefficient_table, fit_ols, nested_rsquared, product_sums
 from emberfield.operators.rollup import group_rates
 from emberfield.session import materialize
@@ -31,6 +32,18 @@ def dummies(t: Tables):
     return one_hot(t.part.select("p_partkey", "p_type"), "p_type", prefix="kind").drop("p_type")
 
 
+@check("design_matrix", f"""
+SELECT p_partkey, 1.0::DOUBLE AS const,
+       {r_sql('(p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER ()', 6)} AS p_retailprice,
+       p_size, CAST(p_type = 'SMALL' AS DOUBLE) AS cat_SMALL, 0.0::DOUBLE AS "cat_NONE", CAST(p_type = 'PROMO' AS DOUBLE) AS cat_PROMO
+FROM part
+""")
+def matrix(t: Tables):
+    built = design_matrix(t.part, ["p_retailprice"], ["p_size"], "p_type",
+                          levels=["LARGE", "SMALL", "NONE", "PROMO"], keep=["p_partkey"])
+    return round_columns(built, ["p_retailprice"], 6)
+
+
 @check("quartile_profile", f"""
 WITH j AS (SELECT c_acctbal AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey),
  e AS (SELECT quantile_cont(x, 0.25) AS e1, quantile_cont(x, 0.5) AS e2, quantile_cont(x, 0.75) AS e3 FROM j)
@@ -59,7 +72,7 @@ def shipments(t: Tables):
               .join(t.part, F.col("l_partkey") == F.col("p_partkey")))
     return joined.select(
         "l_orderkey", "l_linenumber", "l_quantity",
-        (F.timestamp_diff("DAY", F.col("o_orderdate"), F.col("l_shipdate")) / 8.0).alias("response_time_min"),
+        (elapsed_minutes(F.col("o_orderdate"), F.col("l_shipdate")) / 1440 / 8).alias("response_time_min"),
         F.concat((44 + F.col("p_size") * 17).cast("string"), F.lit(" - "), "p_name").alias("primary_situation"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"))
 

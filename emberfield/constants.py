@@ -100,3 +100,20 @@ EMS_CODES = (300, 399)
 SOCIO_COLUMNS = ["median_household_income", "poverty_rate", "median_gross_rent",
                  "bachelor_rate", "vacancy_rate"]
 CONTROL_COLUMNS = ["hour", "is_night", "is_weekend"]
+
+# File names in the raw and the result folder.
+RAW_FILES = {
+    "incidents": "fire_incidents.parquet",
+    "crosswalk": "crosswalk.csv",
+    "tracts": "acs_tracts_{year}.csv",
+    "crime": "crime_raw.parquet",
+    "parcels": "land_use_2020_raw.parquet",
+    "polygons": "neighborhoods.geojson",
+}
+RESULT_FILES = {
+    "census": "acs_neighborhoods_{year}.csv",
+    "crime": "crime_neighborhoods.csv",
+    "land": "land_use_2020_neighborhoods.csv",
+    "base": "sf_fire_incidents_base.parquet",
+    "features": "sf_fire_risk_features.parquet",
+}

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberfield.constants import ISO_MILLIS_PATTERN
+from emberfield.constants import ISO_MILLIS_PATTERN, MONTH_NAMES, WEEKDAY_NAMES
+
+
+def _elapsed(start: Column, end: Column) -> Column:
+    """Interval in seconds. Subtracting keeps zone-free timestamps as they are, whereas
+    ``timestampdiff`` would move them into the session zone and its clock changes."""
+    return (end.cast("timestamp_ntz") - start.cast("timestamp_ntz")).cast("interval second")
 
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
     """Minutes between two instants, fractions of a second kept."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6) / F.lit(60.0)
+    return _elapsed(start, end).cast("decimal(18,6)").cast("double") / F.lit(60.0)
 
 
 def elapsed_whole_minutes(start: Column, end: Column) -> Column:
     """Minutes between two instants, elapsed time first cut to whole seconds."""
-    return F.timestamp_diff("SECOND", start, end) / F.lit(60.0)
+    return _elapsed(start, end).cast("long") / F.lit(60.0)
 
 
 def parse_time(c: Column) -> Column:
@@ -39,11 +45,11 @@ def is_night(hour: Column) -> Column:
 
 
 def month_name(ts: Column) -> Column:
-    return F.date_format(ts, "MMM")
+    return F.elt(F.month(ts), *[F.lit(name) for name in MONTH_NAMES])
 
 
 def weekday_name(ts: Column) -> Column:
-    return F.date_format(ts, "EEE")
+    return F.elt(F.weekday(ts) + 1, *[F.lit(name) for name in WEEKDAY_NAMES])
 
 
 def shift_date(ts: Column, start_hour: int = 8) -> Column:

@@ -43,6 +43,26 @@ def one_hot(
         for level in kept})
 
 
+def design_matrix(
+    df: DataFrame, standardised: Sequence[str], controls: Sequence[str] = (),
+    category: str | None = None, levels: Sequence[str] | None = None, prefix: str = "cat",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``keep`` plus constant, standardised columns, controls and category dummies as columns.
+
+    For inspection or other estimators; :func:`~emberfield.operators.regression.fit_ols` works on
+    the plain columns and never builds the dummies.
+    """
+    out = zscore(df, standardised)
+    out = out.withColumns({"const": F.lit(1.0), **{c: F.col(c + "_z") for c in standardised}})
+    names = [*keep, "const", *standardised, *controls]
+    if category:
+        before = set(out.columns)
+        out = one_hot(out, category, levels, prefix)
+        names += [c for c in out.columns if c not in before]
+    return out.select(*names)
+
+
 def exclusive_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     return df.where((F.col(column) > low) & (F.col(column) < high))
 

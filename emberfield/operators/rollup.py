@@ -15,6 +15,7 @@ from emberfield import constants as K
 from emberfield.functions.numeric import (
     below_flag, member_flag, round_even, to_number, to_number_or_zero, to_whole, truncate)
 from emberfield.functions.text import clean_text, title_case
+from emberfield.operators.columns import present
 
 
 def weighted_mean(value: Column, weight: Column, strict_weights: bool = False) -> Column:
@@ -93,8 +94,13 @@ def flagged_totals(df: DataFrame, by: str, measure: str, total: str, flags: dict
 
 
 def crime_rollup(raw: DataFrame) -> DataFrame:
+    """Totals per neighborhood. Counts are first summed per raw name and category, so that names
+    are normalised once per distinct pair and not once per row."""
+    keys = present(raw, ["neighborhood", "analysis_neighborhood", "incident_category",
+                         "is_violent", "is_property"])
+    counted = raw.groupBy(*keys).agg(F.sum(to_number_or_zero(F.col("count"))).alias("count"))
     return flagged_totals(
-        unify_crime_schema(raw), "neighborhood", "count", "total_crimes",
+        unify_crime_schema(counted), "neighborhood", "count", "total_crimes",
         {"violent_crime_count": "is_violent", "property_crime_count": "is_property"})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,39 @@ def locate_parcels_left(parcels: DataFrame, polygons: DataFrame, step: float | N
     return join_within(points, polygons, step=step)
 
 
+@dataclass
+class Rollups:
+    """Materialised district tables: one row per district, census also per snapshot."""
+
+    census: DataFrame
+    crime: DataFrame
+    land: DataFrame
+
+
+def build_rollups(
+    tracts: DataFrame, crosswalk: DataFrame, crime: DataFrame, parcels: DataFrame, polygons: DataFrame,
+) -> Rollups:
+    """``tracts`` stacks all snapshots with a ``snapshot_year`` column. Each roll-up is written once."""
+    return Rollups(
+        materialize(census_rollup(tracts, crosswalk, by=["snapshot_year"]), "census"),
+        materialize(crime_rollup(crime), "crime"),
+        materialize(parcel_rollup(locate_parcels(parcels, polygons)), "land-use"))
+
+
+def attach_rollups(
+    incidents: DataFrame, rollups: Rollups, years: Sequence[int] = tuple(K.SNAPSHOT_YEARS),
+) -> DataFrame:
+    """One row per incident within the response bounds, with the roll-ups of its district.
+
+    The roll-ups are small enough to broadcast by their file size, so the incidents pass through
+    without a shuffle; were they not, the joins would shuffle with adaptive skew handling.
+    """
+    return (attach_snapshot(prepare_incidents(incidents), rollups.census, years, ["neighborhood"])
+            .withColumnRenamed("snapshot_year", "acs_year")
+            .join(rollups.crime, "neighborhood", "left")
+            .join(rollups.land, "neighborhood", "left"))
+
+
 def base_table(
     incidents: DataFrame,
     tracts: DataFrame,
@@ -69,20 +103,7 @@ def base_table(
     polygons: DataFrame,
     years: Sequence[int] = tuple(K.SNAPSHOT_YEARS),
 ) -> DataFrame:
-    """One row per incident with the roll-ups of its district.
-
-    ``tracts`` stacks all snapshots with a ``snapshot_year`` column. Each roll-up is written once:
-    one row per district (and snapshot), small enough to broadcast by its file size, so the
-    incidents pass through without a shuffle.
-    """
-    census = materialize(census_rollup(tracts, crosswalk, by=["snapshot_year"]), "census")
-    crimes = materialize(crime_rollup(crime), "crime")
-    land = materialize(parcel_rollup(locate_parcels(parcels, polygons)), "land-use")
-    facts = prepare_incidents(incidents)
-    return (attach_snapshot(facts, census, years, ["neighborhood"])
-            .withColumnRenamed("snapshot_year", "acs_year")
-            .join(crimes, "neighborhood", "left")
-            .join(land, "neighborhood", "left"))
+    return attach_rollups(incidents, build_rollups(tracts, crosswalk, crime, parcels, polygons), years)
 
 
 def add_rates(df: DataFrame, rates: dict[str, tuple[str, str]] = K.RATES) -> DataFrame:

@@ -79,6 +79,25 @@ def test_elapsed(spark):
     assert whole == [1.5, -1 / 60, None]
 
 
+def test_elapsed_ignores_clock_changes(spark):
+    """02:30 on this day does not exist in the session zone; plain timestamps do not care."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        pairs = [(dt.datetime(2020, 3, 8, 1, 30), dt.datetime(2020, 3, 8, 3, 30)),
+                 (dt.datetime(2020, 3, 8, 2, 30), dt.datetime(2020, 3, 8, 3, 0))]
+        schema = "a timestamp_ntz, b timestamp_ntz"
+        assert values(spark, schema, pairs, M.elapsed_minutes(F.col("a"), F.col("b"))) == [120, 30]
+        assert values(spark, schema, pairs, M.elapsed_whole_minutes(F.col("a"), F.col("b"))) == [120, 30]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_names_of_months_and_days(spark):
+    days = [dt.datetime(2024, m, 15) for m in range(1, 13)] + [dt.datetime(2024, 1, d) for d in range(1, 8)] + [None]
+    assert values(spark, "t timestamp_ntz", days, M.month_name(F.col("t"))) == [d and d.strftime("%b") for d in days]
+    assert values(spark, "t timestamp_ntz", days, M.weekday_name(F.col("t"))) == [d and d.strftime("%a") for d in days]
+
+
 def test_time_parse(spark):
     texts = ["2020-03-08T02:30:00.125", "2020-03-08T02:30:00", "bad", None]
     strict = values(spark, "s string", texts, M.parse_iso_millis(F.col("s")))
