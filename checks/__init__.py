@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.registry import ORACLE, QUERIES
-from checks import dispatch, facts, landed, models, profiles, reports, rollups, shapes  # noqa: F401
+from checks import (  # noqa: F401
+    dispatch, facts, features, landed, models, profiles, reports, rollups, shapes)
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import Tables, check
+from checks.registry import Tables, check, title_sql
 from emberfield.session import scratch_path
 from emberfield.sources.landed import (
-    census_codes, census_measures, explode_census_array, read_incident_pages, read_loose_csv)
-from emberfield.sources.sinks import hash_sample, sample_rows
+    census_codes, census_measures, explode_census_array, read_crime_pages, read_crosswalk_pages,
+    read_incident_pages, read_keyed_csv, read_loose_csv, read_parcel_pages, read_table)
+from emberfield.sources.sinks import hash_sample, sample_rows, write_csv, write_table
 
 
 @check("census_array_json", """
@@ -67,6 +68,73 @@ def pages(t: Tables):
         "incident_number", "neighborhood_district", "alarm_dttm", "arrival_dttm", "ems_units", "civilian_injuries")
 
 
+@check("crosswalk_pages", f"""
+SELECT CASE WHEN length(c_custkey::VARCHAR) < 11 THEN lpad(c_custkey::VARCHAR, 11, '0') ELSE c_custkey::VARCHAR END AS geoid,
+       {title_sql("c_mktsegment || '/' || c_nationkey || 'x'")} AS neighborhood FROM customer
+""")
+def crosswalk(t: Tables):
+    path = scratch_path(t.spark, "crosswalk-pages")
+    t.customer.select(
+        F.col("c_custkey").cast("string").alias("geoid"),
+        F.concat(F.lit("  "), "c_mktsegment", F.lit("/"), F.col("c_nationkey").cast("string"), F.lit("x "))
+        .alias("neighborhoods_analysis_boundaries")).write.json(path)
+    return read_crosswalk_pages(t.spark, path, lines=True)
+
+
+@check("crime_pages", """
+SELECT strftime(ts, '%Y-%m') AS by_month_incident_date, 'Area ' || user_id AS analysis_neighborhood,
+       event_type AS incident_category, CASE WHEN event_type = 'error' THEN 0.0 ELSE round_even(value, 0) END AS count
+FROM events WHERE event_type <> 'signup'
+""")
+def crime(t: Tables):
+    path = scratch_path(t.spark, "crime-pages")
+    kind = F.col("event_type")
+    t.events.select(
+        F.date_format("ts", "yyyy-MM").alias("by_month_incident_date"),
+        F.when(kind != "signup", F.concat(F.lit("Area "), F.col("user_id").cast("string"))).alias("analysis_neighborhood"),
+        kind.alias("incident_category"),
+        F.when(kind == "error", "?").otherwise(F.rint("value").cast("string")).alias("count")).write.json(path)
+    return read_crime_pages(t.spark, path, lines=True)
+
+
+@check("parcel_pages", """
+SELECT CAST(p_partkey AS VARCHAR) AS blklot, CAST(CASE WHEN 1780 + p_size * 5 BETWEEN 1800 AND 2025 THEN 1780 + p_size * 5 END AS DOUBLE) AS yrbuilt,
+       p_type AS landuse, CASE WHEN p_size <> 7 THEN CAST(p_size AS DOUBLE) END AS resunits, p_retailprice AS st_area_sh
+FROM part WHERE p_brand <> 'Brand#2'
+""")
+def parcel_pages(t: Tables):
+    path = scratch_path(t.spark, "parcel-pages")
+    size = F.col("p_size")
+    ring = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0., 0.), (1., 0.), (0., 1.), (0., 0.))])
+    t.part.select(
+        F.when(F.col("p_brand") != "Brand#2", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+        .alias("the_geom"), F.col("p_partkey").cast("string").alias("blklot"),
+        (1780 + size * 5).cast("string").alias("yrbuilt"), F.col("p_type").alias("landuse"),
+        F.when(size == 7, "none").otherwise(size.cast("string")).alias("resunits"),
+        F.col("p_retailprice").cast("string").alias("st_area_sh")).write.json(path)
+    return read_parcel_pages(t.spark, path, lines=True).drop("the_geom")
+
+
+@check("csv_round_trip", """
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 11, '0') AS geoid, o_totalprice AS total_population,
+       nullif(o_orderstatus, 'P') AS status FROM orders
+""")
+def csv_round_trip(t: Tables):
+    """Written with semicolons, read back with the key as text."""
+    path = scratch_path(t.spark, "orders-csv")
+    write_csv(t.orders.select(F.lpad(F.col("o_orderkey").cast("string"), 11, "0").alias("geoid"),
+                              F.col("o_totalprice").alias("total_population"),
+                              F.nullif("o_orderstatus", F.lit("P")).alias("status")), path, sep=";")
+    return read_keyed_csv(t.spark, path, "geoid string, total_population double, status string", sep=";")
+
+
+@check("table_round_trip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def table_round_trip(t: Tables):
+    path = scratch_path(t.spark, "customers")
+    write_table(t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path, ["c_mktsegment"])
+    return read_table(t.spark, path, columns=["c_custkey"])
+
+
 @check("sample_export", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
 def sample(t: Tables):
     return sample_rows(t.orders, ["o_orderkey"], 100)

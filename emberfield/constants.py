@@ -101,7 +101,7 @@ SOCIO_COLUMNS = ["median_household_income", "poverty_rate", "median_gross_rent",
                  "bachelor_rate", "vacancy_rate"]
 CONTROL_COLUMNS = ["hour", "is_night", "is_weekend"]
 
-# File names in the raw and the result folder.
+# File names of the raw tables.
 RAW_FILES = {
     "incidents": "fire_incidents.parquet",
     "crosswalk": "crosswalk.csv",
@@ -111,9 +111,9 @@ RAW_FILES = {
     "polygons": "neighborhoods.geojson",
 }
 RESULT_FILES = {
-    "census": "acs_neighborhoods_{year}.csv",
-    "crime": "crime_neighborhoods.csv",
-    "land": "land_use_2020_neighborhoods.csv",
-    "base": "sf_fire_incidents_base.parquet",
-    "features": "sf_fire_risk_features.parquet",
+    "census": "census_by_district_{year}.csv",
+    "crime": "crime_by_district.csv",
+    "land": "land_by_district.csv",
+    "base": "incidents_base.parquet",
+    "features": "incidents_features.parquet",
 }

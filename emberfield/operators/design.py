@@ -13,6 +13,9 @@ from emberfield.functions.text import leading_code
 from emberfield.operators.quantiles import exact_quantiles
 
 
+MAX_LEVELS = 1_000
+
+
 def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Add (x - mean) / sample standard deviation; null where the column does not vary.
 
@@ -34,8 +37,10 @@ def one_hot(
     Only for low-cardinality columns: the level list becomes the column list of the plan.
     """
     if levels is None:
-        rows = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()
-        levels = [r[0] for r in rows]
+        found = df.where(F.col(column).isNotNull()).select(column).distinct()
+        levels = sorted(r[0] for r in found.limit(MAX_LEVELS + 1).collect())
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
     kept = list(levels)[1:] if drop_first else list(levels)
     name = prefix or column
     return df.withColumns({

@@ -54,9 +54,7 @@ def exact_quantiles(
     first = [F.count("_v").alias("n"), *extra]
     if not few_values:
         first.append(F.percentile_approx("_v", F.array(*cuts), accuracy).alias("_cut"))
-    summary = src.groupBy(*by).agg(*first)
-    if by:
-        summary = materialize(summary, "quantile-summary")
+    summary = materialize(src.groupBy(*by).agg(*first), "quantile-summary")
 
     rows = src.where(F.col("_v").isNotNull())
     if not few_values:

@@ -148,10 +148,12 @@ def read_table(spark: SparkSession, path: str, hint: str = "", columns: Sequence
     return require_columns(_existing(lambda: spark.read.parquet(path), path, hint), columns, hint)
 
 
-def read_keyed_csv(spark: SparkSession, path: str, schema: str, hint: str = "") -> DataFrame:
+def read_keyed_csv(
+    spark: SparkSession, path: str, schema: str, hint: str = "", sep: str = ",",
+) -> DataFrame:
     """CSV with header and explicit schema, so ids such as ``geoid`` stay text."""
-    return _existing(lambda: spark.read.schema(schema).csv(path, header=True, enforceSchema=False),
-                     path, hint)
+    reader = spark.read.schema(schema)
+    return _existing(lambda: reader.csv(path, header=True, enforceSchema=False, sep=sep), path, hint)
 
 
 def read_loose_csv(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> DataFrame:

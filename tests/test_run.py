@@ -70,7 +70,7 @@ def test_overview(spark, folders):
     tables = run.overview(spark, folders[0], folders[1])
     inventory = {r["table"]: r["rows"] for r in tables["inventory"].collect()}
     assert inventory["neighborhoods.geojson"] == 3 and inventory["crosswalk.csv"] == 9
-    assert inventory["crime_neighborhoods.csv"] == 3 and inventory["acs_neighborhoods_2014.csv"] == 3
+    assert inventory["crime_by_district.csv"] == 3 and inventory["census_by_district_2014.csv"] == 3
     assert tables["sample"].count() == 5 and tables["rates"].count() == len(K.RATES)
     assert tables["result_files"].count() > 5
 
