@@ -20,11 +20,11 @@ FIRST_YEAR = 2003
 
 # Number of values shown per column, and the label width of the bar charts.
 TOP_VALUES = {
-    "primary_situation": (20, 48), "property_use": (15, 48), "neighborhood_district": (20, 48),
-    "ignition_cause": (10, 35), "heat_source": (10, 35), "fire_spread": (None, 35),
-    "detectors_present": (8, 35), "detector_effectiveness": (8, 35),
-    "automatic_extinguishing_system_present": (8, 35),
-    "automatic_extinguishing_sytem_perfomance": (8, 35),
+    "primary_situation": (20, 52), "property_use": (15, 52), "neighborhood_district": (20, 35),
+    "ignition_cause": (10, 48), "heat_source": (10, 48), "fire_spread": (None, 48),
+    "detectors_present": (8, 48), "detector_effectiveness": (8, 48),
+    "automatic_extinguishing_system_present": (8, 48),
+    "automatic_extinguishing_sytem_perfomance": (8, 48),
 }
 # Columns of the resource page.
 RESOURCE_COLUMNS = ["suppression_units", "ems_units", "suppression_personnel", "number_of_alarms"]

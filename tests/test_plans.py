@@ -268,7 +268,8 @@ def test_report_tables(export):
     assert tables["response_histogram"]["n"].sum() == tables["response_percentiles"]["n"].iloc[0]
     assert len(tables["response_histogram"]) == 60 and len(tables["loss_histogram"]) == 40
     assert tables["values_suppression_units"]["suppression_units"].tolist() == [1, 2]
-    assert tables["top_primary_situation"]["label"].str.len().max() <= 48
+    assert report.TOP_VALUES["primary_situation"] == (20, 52)
+    assert tables["top_primary_situation"]["label"].str.len().max() <= 52
     done = tables["completeness"]
     assert "year" not in done["column"].tolist() and done["null_pct"].is_monotonic_increasing
     assert set(done.loc[done["column"] == "fire_spread", "grade"]) <= {"partial", "sparse"}
