@@ -52,3 +52,9 @@ def to_arrow(schema: T.StructType) -> list[pa.DataType]:
             return pa.struct([(f.name, kind(f.dataType)) for f in t])
         return _ARROW[type(t)]
     return [kind(f.dataType) for f in schema]
+
+
+def without(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """Columns of ``df`` that clash with none of ``names``; Spark compares names without case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe
+from emberfield.llm import bpe, exact_dedup, oracle, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,29 @@ def bpe_vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents that are equal after white space is normalised."""
+    return exact_dedup.exact_groups(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op4_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics and the verdict of the quality rules."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return quality_rules.apply_quality_rules(docs, keep_text=False)
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, places and digest of the personal data in every text."""
+    found = pii.find_pii(read(spark, folder, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [pii.count_of("spans", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of encoding every text and decoding it again."""
@@ -37,3 +60,6 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+ORACLE |= {"op1_chunk_recipes": oracle.OP1, "op4_rule_cascade": oracle.OP4, "op8_personal_data": oracle.OP8}
