@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -58,3 +59,30 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     """Columns of ``df`` that clash with none of ``names``; Spark compares names without case."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def drop_unkept(df: DataFrame, judged: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``df`` that ``judged`` keeps; ``judged`` has (doc_id, print, kept), one row per row of ``df``.
+
+    ``print`` is ``text_print`` of the text. Rows that agree in both are told apart only by number:
+    if some of them stay and some go, as many stay as are kept.
+    """
+    held = df.select(F.struct(*df.columns).alias("held"), F.col(doc_id).alias("i"), text_print(F.col(text)).alias("p"))
+
+    def same(other: DataFrame) -> Column:
+        return held.i.eqNullSafe(other.doc_id) & (held.p == other.print)
+
+    go = judged.where("not kept").select("doc_id", "print").distinct()
+    stay = judged.where("kept").groupBy("doc_id", "print").agg(F.count("*").alias("n"))
+    left = go.alias("g").join(stay.alias("s"), F.col("g.doc_id").eqNullSafe(F.col("s.doc_id")) & (
+        F.col("g.print") == F.col("s.print")), "left_semi")
+    if left.isEmpty():
+        return held.join(go, same(go), "left_anti").select("held.*")
+    number = F.row_number().over(Window.partitionBy("i", "p").orderBy("p"))
+    rows = held.withColumn("k", number)
+    return rows.join(stay, rows.i.eqNullSafe(stay.doc_id) & (rows.p == stay.print)).where("k <= n").select("held.*")
+
+
+def text_print(text: Column) -> Column:
+    """64-bit hash that tells texts of one doc_id apart; null differs from empty."""
+    return F.xxhash64(text.isNull(), text)

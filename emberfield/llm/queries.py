@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe, exact_dedup, oracle, pii, quality_rules
+from emberfield.llm import bpe, exact_dedup, mixing, oracle, parity_join, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,20 @@ def op1_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op2_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets have a similarity of at least 0.9."""
+    found = parity_join.near_groups(read(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_block_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    mix = mixing.plan_mix(read(spark, folder, "documents", "doc_id", "text", "source"))
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op4_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics and the verdict of the quality rules."""
@@ -62,4 +76,5 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-ORACLE |= {"op1_chunk_recipes": oracle.OP1, "op4_rule_cascade": oracle.OP4, "op8_personal_data": oracle.OP8}
+ORACLE |= {"op1_chunk_recipes": oracle.OP1, "op2_parity_sketch_join": oracle.OP2,
+           "op4_rule_cascade": oracle.OP4, "op8_personal_data": oracle.OP8}
