@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe, exact_dedup, mixing, oracle, parity_join, pii, quality_rules
+from emberfield.llm import bpe, exact_dedup, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
+from emberfield.llm.labelled import fold, labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +56,31 @@ def op4_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_quality_rules(docs, keep_text=False)
 
 
+def scored(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scores.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_toxicity_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text by a classifier trained on the posterior of many voters."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    sample, counts = labelled_sample(docs, read(spark, folder, "labels", "doc_id", "toxic"), "toxic", 5, 0,
+                                     toxicity.SAMPLE_PER_CLASS, "toxicity_sample")
+    return scored(toxicity.score_toxicity(docs, toxicity.fit_toxicity(sample, counts)), 5, 0)
+
+
+@query
+def op7_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text by similarity-weighted votes of labelled texts."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    sample, counts = labelled_sample(docs, read(spark, folder, "labels", "doc_id", "quality"), "quality", 3, 1,
+                                     quality_knn.SAMPLE_PER_CLASS, "quality_sample")
+    model = quality_knn.fit_neighbours(quality_knn.collect_terms(sample), counts)
+    return scored(quality_knn.score_quality(docs, model), 3, 1)
+
+
 @query
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, places and digest of the personal data in every text."""
