@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe, exact_dedup, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
+from emberfield.llm import bpe, exact_dedup, html_blocks, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
 from emberfield.llm.labelled import fold, labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,14 @@ def op4_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_quality_rules(docs, keep_text=False)
 
 
+@query
+def op5_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, chosen block by block."""
+    pages = read(spark, folder, "pages", "page_id", "url", "html")
+    labeller = html_blocks.train_labeller(html_blocks.training_pages(pages))
+    return html_blocks.extract_text(pages, labeller).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def scored(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scores.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score",
