@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe, exact_dedup, html_blocks, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
+from emberfield.llm import bpe, exact_dedup, html_blocks, licences, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
 from emberfield.llm.labelled import fold, labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,5 +110,12 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op10_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families that the paragraphs of each document state."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return licences.licences_of_documents(docs, licences.fit_licences(docs))
+
+
 ORACLE |= {"op1_chunk_recipes": oracle.OP1, "op2_parity_sketch_join": oracle.OP2,
            "op4_rule_cascade": oracle.OP4, "op8_personal_data": oracle.OP8}
