@@ -32,7 +32,7 @@ def census(t: Tables):
 
 
 @check("csv_null_tokens", """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN o_orderpriority END AS city,
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'a "' || o_orderpriority || '", \\ b' END AS city,
        CASE WHEN o_orderstatus = 'O' THEN CAST(o_custkey AS DOUBLE) END AS ems_units
 FROM orders
 """)
@@ -41,9 +41,10 @@ def null_tokens(t: Tables):
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     t.orders.select(
         F.col("o_orderkey").cast("string").alias("id"),
-        F.when(priority == "1-URGENT", "NA").when(priority == "2-HIGH", "").otherwise(priority).alias("city"),
+        F.when(priority == "1-URGENT", "NA").when(priority == "2-HIGH", "")
+        .otherwise(F.concat(F.lit('a "'), priority, F.lit('", \\ b'))).alias("city"),
         F.when(status == "P", "N/A").when(status == "F", "few").otherwise(F.col("o_custkey").cast("string"))
-        .alias("ems_units")).write.csv(path, header=True)
+        .alias("ems_units")).write.csv(path, header=True, quote='"', escape='"')  # as other tools write it
     return read_loose_csv(t.spark, path, ["ems_units"])
 
 
@@ -117,14 +118,15 @@ def parcel_pages(t: Tables):
 
 @check("csv_round_trip", """
 SELECT lpad(CAST(o_orderkey AS VARCHAR), 11, '0') AS geoid, o_totalprice AS total_population,
-       nullif(o_orderstatus, 'P') AS status FROM orders
+       CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || ' says "x;y", \\' END AS status FROM orders
 """)
 def csv_round_trip(t: Tables):
     """Written with semicolons, read back with the key as text."""
     path = scratch_path(t.spark, "orders-csv")
     write_csv(t.orders.select(F.lpad(F.col("o_orderkey").cast("string"), 11, "0").alias("geoid"),
                               F.col("o_totalprice").alias("total_population"),
-                              F.nullif("o_orderstatus", F.lit("P")).alias("status")), path, sep=";")
+                              F.when(F.col("o_orderstatus") != "P", F.concat("o_orderstatus", F.lit(' says "x;y", \\'))).alias("status")),
+              path, sep=";")
     return read_keyed_csv(t.spark, path, "geoid string, total_population double, status string", sep=";")
 
 
@@ -140,6 +142,6 @@ def sample(t: Tables):
     return sample_rows(t.orders, ["o_orderkey"], 100)
 
 
-@check("hash_sample")
+@check("hash_sample", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 5")
 def hashed(t: Tables):
     return hash_sample(t.orders, ["o_orderkey"])

@@ -142,12 +142,14 @@ WITH c AS (SELECT "column", value, count(*) AS n FROM ({long}) GROUP BY 1, 2),
  t AS (SELECT "column", count(*) AS n_unique, sum(n) AS rows FROM c GROUP BY 1),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank
        FROM c WHERE value IS NOT NULL)
-SELECT r."column", rank, substring(value, 1, 52) AS label, n, {r_sql('n / rows * 100')} AS pct, n_unique
+SELECT r."column", rank, substring(value, 1, 52) AS label, md5(value) AS value_md5, n, {r_sql('n / rows * 100')} AS pct, n_unique
 FROM r JOIN t ON r."column" = t."column" WHERE rank <= {k}"""
 
 
 def _labelled(df):
-    return round_columns(df, ["pct"]).withColumn("label", short_label(F.col("value"), 52)).drop("value")
+    """Label for print, and the digest of the whole value."""
+    return round_columns(df, ["pct"]).withColumn("label", short_label(F.col("value"), 52)).withColumn(
+        "value_md5", F.md5(F.col("value").cast("binary"))).drop("value")
 
 
 @check("top_values_orders", _topk_sql("orders", {

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks.registry import Tables, check, r_sql, round_columns
-from emberfield.functions.geometry import centroid, parse_geometry
+from emberfield.functions.geometry import any_centroid, centroid, parse_parts
 from emberfield.operators.rollup import parcel_rollup
 from emberfield.operators.spatial import join_within, match_rate
 from emberfield.plans.incidents import locate_parcels, locate_parcels_left
@@ -70,22 +70,22 @@ def centroids(t: Tables):
 
 
 @check("geojson_geometry", """
-SELECT s_suppkey, CAST(CASE WHEN s_nationkey >= 5 THEN s_nationkey + 2 END AS DOUBLE) AS x,
-       CAST(CASE WHEN s_nationkey >= 5 THEN s_suppkey + 1 END AS DOUBLE) AS y FROM supplier
+SELECT s_suppkey, CAST(CASE WHEN s_nationkey >= 5 THEN s_nationkey + 2 WHEN s_nationkey >= 3 THEN s_nationkey + 1 ELSE s_nationkey END AS DOUBLE) AS x,
+       CAST(CASE WHEN s_nationkey >= 5 THEN s_suppkey + 1 ELSE s_suppkey END AS DOUBLE) AS y FROM supplier
 """)
 def geojson(t: Tables):
-    """Rectangles written as GeoJSON text, of both kinds; points have no area."""
+    """Rectangles of both kinds, lines and points, written as GeoJSON text."""
     def point(x: Column, y: Column) -> Column:
         return F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
 
     x, y = F.col("s_nationkey"), F.col("s_suppkey")
     outline = F.concat(F.lit("[["), F.concat_ws(",", point(x, y), point(x + 4, y), point(x + 4, y + 2),
                                                 point(x, y + 2), point(x, y)), F.lit("]]"))
-    kind = F.when(x < 5, "Point").when(x < 15, "Polygon").otherwise("MultiPolygon")
-    text = (F.when(x < 5, point(x, y)).when(x < 15, outline)
+    kind = F.when(x < 3, "Point").when(x < 5, "LineString").when(x < 15, "Polygon").otherwise("MultiPolygon")
+    text = (F.when(x < 3, point(x, y)).when(x < 5, F.concat(F.lit("["), point(x, y), F.lit(","), point(x + 2, y), F.lit("]"))).when(x < 15, outline)
             .otherwise(F.concat(F.lit("["), outline, F.lit("]"))))
-    shapes = t.supplier.select("s_suppkey", F.explode(F.array(parse_geometry(kind, text))).alias("shape"))
-    return shapes.select("s_suppkey", F.inline(F.array(centroid(F.col("shape")))))
+    shapes = t.supplier.select("s_suppkey", F.explode(F.array(parse_parts(kind, text))).alias("shape"))
+    return shapes.select("s_suppkey", F.inline(F.array(any_centroid(F.col("shape")))))
 
 
 def nation_boxes(t: Tables):
@@ -102,9 +102,11 @@ def part_parcels(t: Tables):
     y = F.col("p_retailprice") - 900 + 0.03
     corner = [(x + dx, y + dy) for dx, dy in ((-.25, -.25), (.25, -.25), (.25, .25), (-.25, .25), (-.25, -.25))]
     outline = F.to_json(F.array(F.array(*[F.array(a, b) for a, b in corner])))
+    spot, line = F.to_json(F.array(x, y)), F.to_json(F.array(F.array(x - .25, y), F.array(x + .25, y)))
+    brand = F.col("p_brand")
     return t.part.select(
-        F.struct(F.when(F.col("p_brand") == "Brand#1", "Point").otherwise("Polygon").alias("type"),
-                 outline.alias("coordinates")).alias("the_geom"),
+        F.struct(F.when(brand == "Brand#1", "Point").when(brand == "Brand#2", "LineString").otherwise("Polygon").alias("type"),
+                 F.when(brand == "Brand#1", spot).when(brand == "Brand#2", line).otherwise(outline).alias("coordinates")).alias("the_geom"),
         F.col("p_partkey").cast("string").alias("blklot"),
         F.when(F.col("p_size") > 5, 1900.0 + F.col("p_size") * 2).alias("yrbuilt"),
         F.when(F.col("p_type") == "LARGE", "PDR").otherwise("RESIDENT").alias("landuse"),
@@ -113,7 +115,7 @@ def part_parcels(t: Tables):
 
 LOCATED_SQL = """(SELECT p.*, n_name FROM
   (SELECT *, CASE WHEN p_type = 'PROMO' THEN -p_size ELSE p_size END - 0.5 AS x, p_retailprice - 900 + 0.03 AS y
-   FROM part WHERE p_brand <> 'Brand#1') p
+   FROM part) p
   LEFT JOIN nation ON x > (n_nationkey % 5) * 10 AND x < (n_nationkey % 5) * 10 + 10
    AND y > floor(n_nationkey / 5) * 20 AND y < floor(n_nationkey / 5) * 20 + 20)"""
 

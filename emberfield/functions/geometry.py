@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+POINT = "array<double>"
+LINE = "array<array<double>>"
 POLYGON = "array<array<array<double>>>"
 MULTIPOLYGON = "array<array<array<array<double>>>>"
 
@@ -16,6 +18,52 @@ def parse_geometry(kind: Column, coordinates: Column) -> Column:
             .when((kind == "Polygon") & single.isNotNull(), F.array(single)))
 
 
+def parse_parts(kind: Column, coordinates: Column) -> Column:
+    """GeoJSON type and coordinate text to a struct ``polygons``, ``lines``, ``points``.
+
+    ``lines`` also holds the rings of polygons and ``points`` the vertices of lines, for geometries
+    whose area or length is zero. Fields that a geometry does not have are null.
+    """
+    polygons = parse_geometry(kind, coordinates)
+    lines = (F.when(kind == "LineString", F.array(F.from_json(coordinates, LINE)))
+             .when(kind == "MultiLineString", F.from_json(coordinates, POLYGON)).otherwise(F.flatten(polygons)))
+    points = (F.when(kind == "Point", F.array(F.from_json(coordinates, POINT)))
+              .when(kind == "MultiPoint", F.from_json(coordinates, LINE)).otherwise(F.flatten(lines)))
+    return F.struct(polygons.alias("polygons"), lines.alias("lines"), points.alias("points"))
+
+
+def line_centroid(lines: Column) -> Column:
+    """Mid points of the segments weighted by length, as struct ``x, y``; null fields without length."""
+    zero = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+
+    def step(acc: Column, e: Column) -> Column:
+        length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+        return F.struct((acc["l"] + length).alias("l"), (acc["mx"] + length * (e["x1"] + e["x2"]) / 2).alias("mx"),
+                        (acc["my"] + length * (e["y1"] + e["y2"]) / 2).alias("my"))
+
+    def finish(acc: Column) -> Column:
+        length = F.when(acc["l"] > 0, acc["l"])
+        return F.struct((acc["mx"] / length).alias("x"), (acc["my"] / length).alias("y"))
+
+    return F.aggregate(F.flatten(F.transform(lines, ring_edges)), zero, step, finish)
+
+
+def point_centroid(points: Column) -> Column:
+    """Mean of the points as struct ``x, y``; null fields without a point of two numbers."""
+    known = F.filter(points, lambda p: p[0].isNotNull() & p[1].isNotNull())
+    n = F.when(F.size(known) > 0, F.size(known))
+
+    def mean(i: int) -> Column:
+        return F.aggregate(known, F.lit(0.0), lambda s, p: s + p[i]) / n
+    return F.struct(mean(0).alias("x"), mean(1).alias("y"))
+
+
+def any_centroid(parts: Column) -> Column:
+    """Centroid by area, else by length, else of the points; ``parts`` from :func:`parse_parts`, as a column."""
+    found = [centroid(parts["polygons"]), line_centroid(parts["lines"]), point_centroid(parts["points"])]
+    return F.struct(*[F.coalesce(*[c[f] for c in found]).alias(f) for f in ("x", "y")])
+
+
 def ring_edges(ring: Column) -> Column:
     """Consecutive vertex pairs of a closed ring as structs."""
     n = F.size(ring)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\f\x0b"
+#: Every Unicode blank and the control characters that count as blanks.
+BLANK = r"[\p{Z}\t-\r\x1c-\x1f\x85]"
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Blanks of any kind taken off both ends."""
+    return F.regexp_replace(c, rf"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 def title_case(c: Column) -> Column:

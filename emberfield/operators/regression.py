@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
-from math import erfc, exp, lgamma, log, sqrt
+from math import erfc, exp, lgamma, log, log1p, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,7 +48,7 @@ class Fit:
 
     @property
     def rank(self) -> int:
-        return int(np.linalg.matrix_rank(self.moments["xtx"]))
+        return self.moments["rank"]
 
     @property
     def df_resid(self) -> int:
@@ -79,60 +79,71 @@ class Fit:
     @property
     def fvalue(self) -> float:
         """Wald statistic of "all slopes are zero" over their number."""
-        keep = [i for i, t in enumerate(self.terms) if t != CONST and self.cov[i, i] > 0]
-        b, v = self.coef[keep], self.cov[np.ix_(keep, keep)]
-        return float(b @ np.linalg.pinv(v) @ b) / len(keep) if keep else float("nan")
+        b, inverse, rank = self._slopes()
+        return float(b @ inverse @ b) / rank if rank else float("nan")
 
     @property
     def f_pvalue(self) -> float:
-        slopes = sum(1 for i, t in enumerate(self.terms) if t != CONST and self.cov[i, i] > 0)
         df = self.df_resid if self.clusters is None else self.clusters - 1
-        return f_tail(self.fvalue, slopes, df)
+        return f_tail(self.fvalue, self._slopes()[2], df)
 
+    def _slopes(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Slopes, the inverse of their covariance and its rank, which collinear columns lower."""
+        at = [i for i, t in enumerate(self.terms) if t != CONST]
+        v = self.cov[np.ix_(at, at)]
+        if not at or not np.isfinite(v).all():
+            return self.coef[at], np.full_like(v, np.nan), len(at)
+        # Scaled to a unit diagonal, so that the units of the slopes do not enter the decision.
+        scale = np.sqrt(np.diag(v))
+        scale[scale == 0] = 1.0
+        inverse, rank = spectral_inverse(v / np.outer(scale, scale), 1e-9)
+        return self.coef[at], inverse / np.outer(scale, scale), rank
 
-def f_tail(f: float, d1: float, d2: float) -> float:
-    """P(F > f): the regularised incomplete beta function by its continued fraction.
 
-    With very many rows the chi-square limit is used, whose error is of the order 1 / d2.
-    """
-    if not f == f or d2 <= 0:
+def spectral_inverse(m: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, int]:
+    """Pseudo-inverse of a symmetric matrix and its rank, by one decision on its eigenvalues."""
+    values, vectors = np.linalg.eigh(m)
+    size = np.abs(values)
+    live = size > max(least, 8 * len(m) * np.finfo(float).eps) * size.max(initial=0.0)
+    return (vectors[:, live] / values[live]) @ vectors[:, live].T, int(live.sum())
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """P(F > f): the regularised incomplete beta function by its continued fraction, at every size."""
+    if not f == f or d1 <= 0 or d2 <= 0:
         return float("nan")
     if f <= 0:
         return 1.0
-    if d2 > 1e6:
-        return _chi2_tail(d1 * f, int(d1))
-    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
+    ratio = d1 * f / d2
+    a, b = d2 / 2, d1 / 2
+    # x = 1 / (1 + ratio); its logarithm is taken from ratio, because x is close to 1 for large d2.
+    log_x, log_y = -log1p(ratio), log(ratio) - log1p(ratio)
+    x, y = 1 / (1 + ratio), ratio / (1 + ratio)
+    front = exp(_log_gamma_step(a, b) - lgamma(b) + a * log_x + b * log_y)
     if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_front(1 - x, b, a)
-    return _beta_front(x, a, b)
-
-
-def _chi2_tail(x: float, k: int) -> float:
-    """P(chi-square with k degrees > x) by the recurrence from 1 or 2 degrees upwards."""
-    half = x / 2
-    tail, s = (erfc(sqrt(half)), 0.5) if k % 2 else (exp(-half), 1.0)
-    while s < k / 2:
-        tail += exp(s * log(half) - half - lgamma(s + 1))
-        s += 1
-    return tail
-
-
-def _beta_front(x: float, a: float, b: float) -> float:
-    if x <= 0:
-        return 0.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
-    c, d, out = 1.0, 1.0 - (a + b) * x / (a + 1), 1.0
-    d = 1.0 / (d or 1e-300)
+        return 1.0 - front / b * _beta_fraction(y, b, a)
+    return front / a * _beta_fraction(x, a, b)
+
+
+def _log_gamma_step(a: float, b: float) -> float:
+    """log gamma(a + b) - log gamma(a), without cancellation for large ``a``."""
+    if a < 1e4:
+        return lgamma(a + b) - lgamma(a)
+    return (a + b - 0.5) * log1p(b / a) + b * log(a) - b + 1 / (12 * (a + b)) - 1 / (12 * a)
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1)) or 1e-300)
     out = d
-    for m in range(1, 10_000):
+    for m in range(1, 1_000_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 / ((1.0 + num * d) or 1e-300)
             c = (1.0 + num / c) or 1e-300
             out *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * out
+            return out
+    raise ArithmeticError("the continued fraction did not converge")
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -240,9 +251,9 @@ def fit_ols(
         xtx = _assemble(groups, kept, k)
         xty = np.concatenate([sum(g[k + 1, :k + 1] for g in groups.values()),
                               [groups[v][0, k + 1] if v in groups else 0.0 for v in kept]])
-        inverse = np.linalg.pinv(xtx, hermitian=True)
+        inverse, rank = spectral_inverse(xtx)
         syy = sum(g[k + 1, k + 1] for g in groups.values())
-        solved[s] = dict(kept=kept, xtx=xtx, xty=xty, inverse=inverse, beta=inverse @ xty, syy=syy)
+        solved[s] = dict(kept=kept, xtx=xtx, xty=xty, inverse=inverse, rank=rank, beta=inverse @ xty, syy=syy)
 
     # Pass 3: residual sums with the parameters of each stratum and level.
     level_rows = []
@@ -288,12 +299,14 @@ def fit_ols(
             full[r["_s"]] = full.get(r["_s"], 0) + r["full"]
     for s, fit in solved.items():
         inv, n = fit["inverse"], rows[s]
-        p = int(np.linalg.matrix_rank(fit["xtx"]))
+        p = fit["rank"]
         if cov == "HC3":
             cov_m = inv @ _assemble(meats[s], fit["kept"], k) @ inv
         elif cov == "cluster":
             g = n_clusters[s]
-            cov_m = inv @ meats[s] @ inv * (g / (g - 1)) * ((n - 1) / (n - p))
+            # One cluster or no residual freedom leaves the errors undefined, not the coefficients.
+            scale = g / (g - 1) * ((n - 1) / (n - p)) if g > 1 and n > p else float("nan")
+            cov_m = inv @ meats[s] @ inv * scale
         else:
             cov_m = inv * (ssr[s] / (n - p) if n > p else float("nan"))
         coef = fit["beta"].copy()
@@ -337,11 +350,10 @@ def coefficient_table(spark, fits: dict[str, Fit], terms: Sequence[str] | None =
     """
     rows = []
     for s, f in fits.items():
+        whole = (f.n, float(f.rsquared), float(f.rsquared_adj), f.fvalue, f.f_pvalue, f.full_leverage_rows)
         for term, b, se, stat, p in zip(f.terms, f.coef, f.se, f.stat, f.pvalues):
             if terms is None or term in terms:
-                rows.append((s, term, float(b), float(se), float(stat), float(p), f.n,
-                             float(f.rsquared), float(f.rsquared_adj), f.fvalue, f.f_pvalue,
-                             f.full_leverage_rows))
+                rows.append((s, term, float(b), float(se), float(stat), float(p), *whole))
     table = spark.createDataFrame(
         rows, "stratum string, term string, coef double, se double, stat double, p double, n long, "
         "r2 double, r2_adj double, f double, f_p double, full_leverage_rows long")

@@ -14,21 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfield.functions.geometry import centroid, parse_geometry, polygon_edges, strictly_inside
+from emberfield.functions.geometry import any_centroid, parse_parts, polygon_edges, strictly_inside
 from emberfield.session import materialize
 
 
 def with_centroid(df: DataFrame, kind: Column, coordinates: Column, keep: Sequence[str]) -> DataFrame:
     """``keep`` plus centroid ``x``, ``y`` of GeoJSON geometries; rows without one drop out.
 
+    Polygons have theirs by area, lines by length, points by their mean; what has no area or length
+    falls back to the next. ``unusable_geometries`` counts the rows that drop out.
+
     The generators are evaluated once per row, and a filter on their output cannot be copied below
     them, so each geometry is parsed once and folded once.
     """
-    shapes = df.select(*keep, F.explode(F.array(parse_geometry(kind, coordinates))).alias("_shape"))
-    points = shapes.select(*keep, F.inline(F.array(centroid(F.col("_shape")))))
+    shapes = df.select(*keep, F.explode(F.array(parse_parts(kind, coordinates))).alias("_shape"))
+    points = shapes.select(*keep, F.inline(F.array(any_centroid(F.col("_shape")))))
     return points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
+def unusable_geometries(df: DataFrame, kind: Column, coordinates: Column) -> DataFrame:
+    """How many rows there are and how many of them have no centroid."""
+    shapes = df.select(F.explode(F.array(parse_parts(kind, coordinates))).alias("_shape"))
+    points = shapes.select(F.inline(F.array(any_centroid(F.col("_shape")))))
+    return points.agg(F.count(F.lit(1)).alias("total"),
+                      F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("unusable"))
+
+
 def polygon_cells(polygons: DataFrame, geometry: str, step: float) -> DataFrame:
     """One row per polygon and grid cell it covers: ``_cx``, ``_cy``, ``_edges``, other columns.
 

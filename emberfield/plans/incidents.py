@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from emberfield.functions.numeric import safe_ratio, to_whole
 from emberfield.functions.text import title_case
 from emberfield.functions.time import elapsed_minutes, is_night, is_weekend
 from emberfield.operators.columns import require_columns
-from emberfield.operators.nearest import attach_snapshot
+from emberfield.operators.nearest import with_nearest_snapshot
 from emberfield.operators.profile import null_profile
 from emberfield.operators.rollup import census_rollup, crime_rollup, parcel_rollup
 from emberfield.operators.spatial import join_within, with_centroid
@@ -85,13 +86,26 @@ def attach_rollups(
 ) -> DataFrame:
     """One row per incident within the response bounds, with the roll-ups of its district.
 
-    The roll-ups are small enough to broadcast by their file size, so the incidents pass through
-    without a shuffle; were they not, the joins would shuffle with adaptive skew handling.
+    The roll-ups are merged into one table per district and snapshot first, so the incidents take part
+    in a single join. It is a broadcast where the file size allows; else both sides are plain shuffles,
+    and adaptive skew handling splits a district with many incidents.
     """
-    return (attach_snapshot(prepare_incidents(incidents), rollups.census, years, ["neighborhood"])
-            .withColumnRenamed("snapshot_year", "acs_year")
-            .join(rollups.crime, "neighborhood", "left")
-            .join(rollups.land, "neighborhood", "left"))
+    facts = with_nearest_snapshot(prepare_incidents(incidents), years)
+    merged = materialize(merge_rollups(rollups, years), "districts")
+    same = facts["neighborhood"].eqNullSafe(merged["_district"]) & facts["snapshot_year"].eqNullSafe(merged["_snapshot"])
+    return (facts.join(merged, same, "left").drop("_district", "_snapshot")
+            .withColumnRenamed("snapshot_year", "acs_year"))
+
+
+def merge_rollups(rollups: Rollups, years: Sequence[int]) -> DataFrame:
+    """Every district with each snapshot and with none: ``_district``, ``_snapshot`` and all measures."""
+    tables = (rollups.census, rollups.crime, rollups.land)
+    names = reduce(DataFrame.union, [t.select("neighborhood") for t in tables]).where("neighborhood is not null").distinct()
+    snapshots = F.array(*[F.lit(y) for y in years], F.lit(None).cast("int"))
+    rows = names.select("neighborhood", F.explode(snapshots).alias("snapshot_year"))
+    merged = (rows.join(rollups.census, ["neighborhood", "snapshot_year"], "left")
+              .join(rollups.crime, "neighborhood", "left").join(rollups.land, "neighborhood", "left"))
+    return merged.withColumnsRenamed({"neighborhood": "_district", "snapshot_year": "_snapshot"})
 
 
 def base_table(

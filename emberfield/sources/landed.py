@@ -132,12 +132,12 @@ def type_parcels(df: DataFrame) -> DataFrame:
 def read_polygons(spark: SparkSession, path: str, name: str = "nhood") -> DataFrame:
     """GeoJSON feature collection to ``neighborhood`` and ``geometry`` (multi-polygon).
 
-    A collection is one JSON document and so one task; it holds city outlines, not facts.
+    A collection is one JSON document and so read by one task; the outlines are spread before they are parsed.
     """
     schema = (f"features array<struct<properties:struct<`{name}`:string>,"
               "geometry:struct<type:string,coordinates:string>>>")
     features = (spark.read.schema(schema).option("multiLine", True).json(path)
-                .select(F.explode("features").alias("f")))
+                .select(F.explode("features").alias("f"))).repartition(spark.sparkContext.defaultParallelism)
     return features.select(
         title_case(F.col("f.properties")[name]).alias("neighborhood"),
         parse_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
@@ -149,16 +149,21 @@ def read_table(spark: SparkSession, path: str, hint: str = "", columns: Sequence
 
 
 def read_keyed_csv(
-    spark: SparkSession, path: str, schema: str, hint: str = "", sep: str = ",",
+    spark: SparkSession, path: str, schema: str, hint: str = "", sep: str = ",", multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with header and explicit schema, so ids such as ``geoid`` stay text."""
+    """CSV with header and explicit schema, so ids such as ``geoid`` stay text.
+
+    Quotes inside a value are doubled. ``multi_line`` allows line ends inside quotes, at the price of
+    one task per file.
+    """
     reader = spark.read.schema(schema)
-    return _existing(lambda: reader.csv(path, header=True, enforceSchema=False, sep=sep), path, hint)
+    return _existing(lambda: reader.csv(
+        path, header=True, enforceSchema=False, sep=sep, quote='"', escape='"', multiLine=multi_line), path, hint)
 
 
-def read_loose_csv(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> DataFrame:
+def read_loose_csv(spark: SparkSession, path: str, numbers: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """CSV read as text with four null tokens; the named columns become lenient numbers."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=False)
+    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line)
     text = raw.select(*[null_tokens(F.col(f"`{c}`"), K.NULL_TOKENS).alias(c) for c in raw.columns])
     return text.withColumns({c: to_number(F.col(c)) for c in numbers if c in raw.columns})
 

@@ -14,7 +14,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep)
+    """CSV with header; a quote inside a value is doubled, as most readers expect."""
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"')
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], n: int = 100) -> DataFrame:
@@ -28,7 +29,8 @@ def write_sample(df: DataFrame, path: str, key: Sequence[str], n: int = 100) ->
 
 def hash_sample(df: DataFrame, key: Sequence[str], n: int = 5, seed: int = 42) -> DataFrame:
     """``n`` rows that look random but are the same on every run: the smallest seeded key hashes."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
+    return df.orderBy(F.md5(text.cast("binary")), *key).limit(n)
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from emberfield import constants as K
 from emberfield.operators.nearest import attach_snapshot
 from emberfield.plans.incidents import feature_table, prepare_incidents
-from emberfield.session import scratch_path
 
 
 def enrich(
@@ -30,8 +29,12 @@ def enrich(
 
 
 def write_features(features: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Append the available files to a parquet table and stop; progress is kept in the shared folder."""
-    place = checkpoint or scratch_path(features.sparkSession, "stream")
+    """Append the files that are new since the last call to a parquet table and stop.
+
+    Progress is kept beside the table unless ``checkpoint`` names another place. It must belong to the
+    table: the table's own log skips batch numbers it has seen, so fresh progress would lose rows.
+    """
+    place = checkpoint or f"{path.rstrip('/')}/_progress"
     return (features.writeStream.format("parquet").option("path", path)
             .option("checkpointLocation", place).outputMode("append")
             .trigger(availableNow=True).start())

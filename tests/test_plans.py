@@ -185,11 +185,14 @@ def test_stream_gives_the_batch_rows(spark, inputs, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     inputs["incidents"].repartition(3).write.parquet(source)
     stream = spark.readStream.schema(inputs["incidents"].schema).parquet(source)
-    query = write_features(enrich(stream, census, [crime]), target, str(tmp_path / "progress"))
-    query.awaitTermination(120)
-    got, want = spark.read.parquet(target), enrich(spark.read.parquet(source), census, [crime])
-    assert got.count() == want.count() > 0
-    assert got.exceptAll(want.select(got.columns)).count() == 0
+    # A second call appends what has arrived since, without a progress folder being named.
+    for _ in range(2):
+        query = write_features(enrich(stream, census, [crime]), target)
+        query.awaitTermination(120)
+        got, want = spark.read.parquet(target), enrich(spark.read.parquet(source), census, [crime])
+        assert got.count() == want.count() > 0
+        assert got.exceptAll(want.select(got.columns)).count() == 0
+        inputs["incidents"].limit(7).write.mode("append").parquet(source)
 
 
 # Wide export -----------------------------------------------------------------------------------
@@ -297,3 +300,16 @@ def test_work_dir_is_the_configured_one(spark):
         assert work_dir(spark) == named.rstrip("/")
     else:
         assert work_dir(spark) == work_dir(spark)
+
+
+def test_work_dir_of_a_cluster_must_be_named():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default) if self.master else default
+
+    class Session:
+        conf = Conf()
+
+    for Conf.master in (True, False):  # a cluster, and a session that hides its master
+        with pytest.raises(ValueError):
+            work_dir(Session())

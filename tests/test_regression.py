@@ -180,3 +180,27 @@ def test_sample_summary(spark):
     r = sample_summary(df, "v").first()
     assert (r["n"], r["median"], r["mean"], r["min"], r["max"]) == (3, 2, 3, 1, 6)
     assert r["std"] == pytest.approx(np.std([1, 2, 6], ddof=1))
+
+
+def test_wald_test_of_collinear_columns(spark, data):
+    """A copy of a column in other units adds no restriction and leaves F as it is."""
+    df = spark.createDataFrame(data).withColumn("x3", 3 * F.col("x1") - 7)
+    one = fit_ols(df, "y", ["x1", "x2"])["all"]
+    two = fit_ols(df, "y", ["x1", "x2", "x3"])["all"]
+    assert two.fvalue == pytest.approx(one.fvalue, rel=1e-6) and two.f_pvalue == pytest.approx(one.f_pvalue, rel=1e-6)
+    assert two.rank == one.rank == 3 and two.rsquared == pytest.approx(one.rsquared)
+
+
+def test_one_cluster_has_no_errors(spark, data):
+    df = spark.createDataFrame(data.assign(cl=1))
+    fit = fit_ols(df, "y", ["x1"], cov="cluster", cluster="cl")["all"]
+    assert np.isfinite(fit.coef).all() and np.isnan(fit.se).all() and math.isnan(fit.fvalue)
+
+
+def test_f_tail_is_one_function_at_every_size():
+    """Steady in d2, and close to the chi-square limit for very large d2."""
+    for f, d1 in ((0.5, 1), (2.0, 3), (4.0, 10), (1.0, 40)):
+        tails = [f_tail(f, d1, d2) for d2 in (9e5, 1.1e6, 1e7, 1e9)]
+        assert tails == pytest.approx([tails[0]] * 4, rel=1e-3)
+    assert f_tail(3.841458820694124, 1, 1e10) == pytest.approx(0.05, rel=1e-6)
+    assert f_tail(5.991464547107979 / 2, 2, 1e10) == pytest.approx(0.05, rel=1e-6)

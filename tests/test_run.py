@@ -127,6 +127,28 @@ def test_spatial_join_of_a_hot_cell_without_broadcast(spark, no_broadcast):
     assert joined.count() == 3000 and joined.where("name is not null").count() == want
 
 
+def test_one_hot_district_is_split(spark, inputs, no_broadcast):  # noqa: F811
+    """The incidents take part in one join, which adaptive execution can split."""
+    from emberfield.plans import incidents
+
+    rollups = incidents.build_rollups(*[inputs[k] for k in ("tracts", "crosswalk", "crime", "parcels", "polygons")])
+    hot = inputs["incidents"].limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("copy")
+    facts = inputs["incidents"].union(hot).repartition(8)
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        out = incidents.attach_rollups(facts, rollups)
+        out.foreachPartition(lambda rows: None)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert "skew=true" in plan and plan.count("SortMergeJoin") == 1 and len(rows) > 20_000
+
+
 def test_base_table_without_broadcast(inputs, folders, no_broadcast):  # noqa: F811
     from emberfield.plans import incidents
 

@@ -165,3 +165,29 @@ def test_hash_sample_is_stable(spark, rows):
 def test_absent_columns(spark):
     df = with_absent_columns(spark.range(1), ["id", "x"], "double")
     assert df.dtypes == [("id", "bigint"), ("x", "double")] and df.first()["x"] is None
+
+
+def test_csv_with_quotes_commas_and_backslashes(spark, tmp_path):
+    """As other tools write it, and back and forth through the own writer."""
+    values = ['a ""b"" c, d'.replace('""', '"'), "back\\slash", 'ends with "', "plain", 'line\nend, "x"']
+    text = "id,name\n" + "".join(f'{i},"{v.replace(chr(34), chr(34) * 2)}"\n' for i, v in enumerate(values))
+    (tmp_path / "in.csv").write_text(text)
+    path, schema = str(tmp_path / "in.csv"), "id int, name string"
+    from emberfield.sources.landed import read_keyed_csv, read_loose_csv
+    from emberfield.sources.sinks import write_csv
+
+    keyed = read_keyed_csv(spark, path, schema, multi_line=True)
+    assert [r["name"] for r in keyed.orderBy("id").collect()] == values
+    assert [r["name"] for r in read_loose_csv(spark, path, multi_line=True).orderBy("id").collect()] == values
+    write_csv(keyed, str(tmp_path / "out"))
+    again = read_keyed_csv(spark, str(tmp_path / "out"), schema, multi_line=True)
+    assert [r["name"] for r in again.orderBy("id").collect()] == values
+
+
+def test_unicode_blanks_are_stripped(spark):
+    from emberfield.functions.text import title_case
+
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    names = [b + "mission bay" + b + " " for b in blanks]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r[0] for r in df.select(title_case(F.col("n"))).collect()} == {"Mission Bay"}

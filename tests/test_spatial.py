@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.functions.geometry import MULTIPOLYGON, centroid, parse_geometry, strictly_inside, polygon_edges
-from emberfield.operators.spatial import join_within, match_rate, polygon_cells, with_centroid
+from emberfield.operators.spatial import join_within, match_rate, polygon_cells, unusable_geometries, with_centroid
 
 # Three sample parcels.
 PARCELS = {
@@ -82,12 +82,19 @@ def test_centroid_of_parts_holes_and_windings(spark):
         assert tuple(got[name]) == pytest.approx(exact_centroid(g), rel=1e-13)
 
 
-def test_geometries_without_area_drop_out(spark):
-    data = [("line", "Polygon", "[[[0,0],[1,1],[0,0]]]"), ("point", "Point", "[1,2]"), ("broken", "Polygon", "nope"),
-            ("null", None, None), ("ok", "Polygon", "[[[0,0],[2,0],[2,2],[0,2],[0,0]]]")]
-    df = spark.createDataFrame(data, "name string, kind string, coords string")
-    got = with_centroid(df, F.col("kind"), F.col("coords"), ["name"]).collect()
-    assert [tuple(r) for r in got] == [("ok", 1.0, 1.0)]
+def test_lines_and_points_have_a_centroid_and_the_rest_is_counted(spark):
+    data = [("flat", "Polygon", "[[[0,0],[1,1],[0,0]]]", (0.5, 0.5)), ("spot", "Polygon", "[[[3,4],[3,4],[3,4]]]", (3, 4)),
+            ("point", "Point", "[1,2]", (1, 2)), ("points", "MultiPoint", "[[1,2],[3,6]]", (2, 4)),
+            ("line", "LineString", "[[0,0],[4,0],[4,2]]", (8 / 3, 1 / 3)), ("lines", "MultiLineString", "[[[0,0],[2,0]],[[0,4],[2,4]]]", (1, 2)),
+            ("broken", "Polygon", "nope", None), ("null", None, None, None), ("other", "Sphere", "[1,2]", None),
+            ("ok", "Polygon", "[[[0,0],[2,0],[2,2],[0,2],[0,0]]]", (1, 1))]
+    df = spark.createDataFrame([d[:3] for d in data], "name string, kind string, coords string")
+    got = {r["name"]: (r["x"], r["y"]) for r in with_centroid(df, F.col("kind"), F.col("coords"), ["name"]).collect()}
+    want = {name: xy for name, _, _, xy in data if xy}
+    assert got.keys() == want.keys()
+    for name, xy in want.items():
+        assert got[name] == pytest.approx(xy), name
+    assert tuple(unusable_geometries(df, F.col("kind"), F.col("coords")).first()) == (10, 3)
 
 
 def test_strictly_inside_on_the_outline(spark):
