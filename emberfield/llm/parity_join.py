@@ -1,22 +1,23 @@
 """Near-duplicate join of shingle sets by parity sketches.
 
-A document is its set of distinct three-word shingles. Two sets with Jaccard similarity of at least
-0.9 differ in at most a nineteenth of their summed sizes. Every shingle is XOR-hashed into one of
-``parts`` lanes of a sketch, once as a single bit and once as a 64-bit word: what two sets share
-cancels, so the Hamming distance of the bits, and the number of differing lanes, are lower bounds of
-the symmetric difference. With more lanes than allowed differences some lane is equal (pigeonhole),
-so an equi-join on (size band, lane, word) meets every linked pair. Bands overlap by the least ratio
-of sizes. Candidates must pass the Hamming bound, then the exact comparison of their shingle sets.
+A document is its set of distinct word shingles. Linked sets differ in at most a fixed share of their
+summed sizes (a nineteenth for a similarity of 0.9). Every shingle is XOR-hashed into a bit sketch and
+into one of the lanes of a wider sketch, whose words are 64 bits: what two sets share cancels, so the
+Hamming distance of the bits, and the number of differing lanes, are lower bounds of the symmetric
+difference. With more lanes than allowed differences some lane is equal (pigeonhole), so an equi-join
+on (size band, lane, word) meets every linked pair. A document joins every band that its least or most
+similar partner can be in. Candidates must pass the Hamming bound, then the exact comparison of sets.
 
 There are ``spare`` more lanes than needed, so a linked pair shares at least ``spare + 1`` lanes. Every
 document leaves out its ``spare`` lanes whose words are most frequent over all documents (empty lanes,
 lanes of a common passage); the rarest lane that a linked pair shares is never among them, because at
 least ``spare`` shared ones are more frequent. That bounds no bucket and loses no pair.
 
-Documents with equal sets are merged first. Then, for ``STAR_ROUNDS`` rounds, each bucket compares its
-members with one of them, chosen by a hash, which joins groups of copies with as many comparisons as
-the bucket has members. Last, buckets that still hold several components compare every pair of
-different components. No link between different texts is lost; what is not compared is connected.
+Documents with equal sets are merged first. Then every bucket compares its members with ``CENTERS`` of
+them, chosen by a hash, which connects groups of copies in as many comparisons as the buckets have
+members. Last, buckets that still hold several components compare every pair of different components.
+Only pairs within the Hamming bound leave a join. No link between different texts is lost: what is not
+compared is connected already.
 
 Defined results: a document without words is linked with nothing; rows repeated with one doc_id are
 separate documents with equal sets; a null doc_id names a component only if all its rows have none;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -36,17 +38,31 @@ from pyspark.sql import types as T
 
 from emberfield.llm.common import document_bytes, drop_unkept, per_row, text_print
 from emberfield.llm.components import components
-from emberfield.session import materialize
+from emberfield.session import discard, materialize
 
-WIDTH = 3
-#: Similarity as a fraction; pairs link when the intersection is at least that share of the union.
-LEAST = (90, 100)
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Sets of ``width``-word shingles link when whole * intersection >= share * union."""
+
+    width: int = 3
+    share: int = 90
+    whole: int = 100
+
+    def allowed(self, sizes: int) -> int:
+        """Most differences that two linked sets of ``sizes`` shingles together can have."""
+        return sizes * (self.whole - self.share) // (self.whole + self.share)
+
+
+DEFAULT = Similarity()
 BAND_RATIO = 1.5
+#: Lanes beyond the needed ones, as a share of the allowed differences.
 SPARE = 0.25
-STAR_ROUNDS = 3
-LANE_BITS = 16
-#: 64-bit words of the short sketch that is compared inside the bucket join.
-SHORT_WORDS = 8
+#: Members of each bucket that all others are compared with first.
+CENTERS = 2
+#: 64-bit words of the bit sketch that is compared inside the bucket join.
+SKETCH_WORDS = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -55,7 +71,7 @@ def words_of(text: str | None) -> list[bytes]:
     return document_bytes(text).translate(_LOWER).split()
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> set[tuple[bytes, ...]]:
+def shingle_set(text: str | None, width: int = 3) -> set[tuple[bytes, ...]]:
     words = words_of(text)
     if len(words) < width:
         return {tuple(words)} if words else set()
@@ -68,7 +84,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
     """One 64-bit hash per distinct shingle; distinctness is decided on word numbers, not hashes."""
     words = words_of(text)
     if not words:
@@ -101,162 +117,148 @@ def band(size: int) -> tuple[int, int, int]:
 
 
 @functools.lru_cache(maxsize=10_000)
-def lanes_of(high: int) -> tuple[int, int]:
+def lanes_of(high: int, like: Similarity) -> tuple[int, int]:
     """Lanes of a band whose sizes stay below ``high``, and how many of them are spare."""
-    share, whole = LEAST
-    allowed = 2 * (high - 1) * (whole - share) // (whole + share)
+    allowed = like.allowed(2 * (high - 1))
     spare = max(2, int(SPARE * allowed)) if allowed else 0
     return allowed + 1 + spare, spare
 
 
-def bands_of(size: int) -> list[tuple[int, int]]:
+def bands_of(size: int, like: Similarity) -> list[tuple[int, int]]:
     """(band, its upper end) for each band in which a document of this size meets others."""
     number, _, high = band(size)
     out = [(number, high)]
-    if size * LEAST[1] >= LEAST[0] * high:
-        out.append((number + 1, band(high)[2]))
+    while size * like.whole >= like.share * high:
+        number, _, high = band(high)
+        out.append((number, high))
     return out
 
 
-def sketch(hashes: np.ndarray, number: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of the lanes, and the bits of the sketch in 64-bit words."""
-    parts, _ = lanes_of(high)
+def lane_keys(hashes: np.ndarray, number: int, high: int, like: Similarity) -> np.ndarray:
+    """One join key per lane of a band: the XOR of what falls into the lane, mixed with its place."""
+    parts, _ = lanes_of(high, like)
     lane = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     words = np.zeros(parts, np.uint64)
     np.bitwise_xor.at(words, lane, _mix(hashes))
-    keys = _mix(words + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(number << 32)))
-    bit = lane * np.uint64(LANE_BITS) + (hashes & np.uint64(LANE_BITS - 1))
-    length = -(-parts * LANE_BITS // 64) * 64
-    parity = np.bincount(bit.astype(np.int64), minlength=length) & 1
-    return keys, np.packbits(parity.astype(bool), bitorder="little").view("<u8")
+    return _mix(words + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(number << 32)))
+
+
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each bit, in 64-bit words."""
+    bits = 64 * SKETCH_WORDS
+    count = np.bincount((hashes >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(bool), bitorder="little").view(np.int64)
 
 
-_SKETCH = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType()))])
 _LANES = T.StructType([T.StructField("spare", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _ADDED = T.StructType([
     T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
-    T.StructField("short", T.ArrayType(T.LongType())),
-    T.StructField("lanes", T.ArrayType(_LANES)), T.StructField("sketches", T.ArrayType(_SKETCH))])
+    T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("lanes", T.ArrayType(_LANES))])
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, like: Similarity) -> DataFrame:
     def run(values: Iterator[tuple]) -> Iterable[tuple]:
         for (text,) in values:
-            hashes = shingle_hashes(text)
-            size, lanes, made = len(hashes), [], []
-            for number, high in bands_of(size) if size else ():
-                lane_keys, bits = sketch(hashes, number, high)
-                lanes.append({"spare": lanes_of(high)[1], "keys": lane_keys.view(np.int64)})
-                made.append({"band": number, "bits": bits.view(np.int64)})
-            set_key = (hashes.sum().tobytes() + np.bitwise_xor.reduce(_mix(hashes + np.uint64(1))).tobytes()) if size else b""
-            short = np.bincount((hashes >> np.uint64(20) & np.uint64(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS)
-            yield size, set_key, np.packbits((short & 1).astype(bool), bitorder="little").view(np.int64), lanes, made
+            hashes = shingle_hashes(text, like.width)
+            size = len(hashes)
+            if not size:
+                yield 0, b"", None, []
+                continue
+            lanes = [{"spare": lanes_of(high, like)[1], "keys": lane_keys(hashes, number, high, like).view(np.int64)}
+                     for number, high in bands_of(size, like)]
+            set_key = hashes.sum().tobytes() + np.bitwise_xor.reduce(_mix(hashes + np.uint64(1))).tobytes()
+            yield size, set_key, bit_sketch(hashes), lanes
 
     return per_row(docs, ["text"], _ADDED, run, keep=["doc_id", "print"])
 
 
-def _may_link(a: Column, b: Column) -> Column:
-    """Sizes within the ratio, and short sketches within the bound of the sizes."""
-    share, whole = LEAST
-    distance = sum((F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(SHORT_WORDS)), F.lit(0))
-    return ((a["n"] * whole >= share * b["n"]) & (b["n"] * whole >= share * a["n"])
-            & (distance * (whole + share) <= (a["n"] + b["n"]) * (whole - share)))
-
+def _may_link(a: Column, b: Column, like: Similarity) -> Column:
+    """Sizes within the ratio, and Hamming distance of the sketches within the bound of the sizes."""
+    distance = sum((F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return ((a["n"] * like.whole >= like.share * b["n"]) & (b["n"] * like.whole >= like.share * a["n"])
+            & (distance * (like.whole + like.share) <= (a["n"] + b["n"]) * (like.whole - like.share)))
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sketches are within the bound of their sizes in the band they share."""
-    a = sketches.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketches").alias("s_a"))
-    b = sketches.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketches").alias("s_b"))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    shared = F.element_at(F.array_intersect(F.transform("s_a", lambda s: s["band"]), F.transform("s_b", lambda s: s["band"])), -1)
 
-    def bits(name: str) -> Column:
-        return F.element_at(F.filter(name, lambda s: s["band"] == F.col("shared")), 1)["bits"]
-
-    share, whole = LEAST
-    joined = pairs.join(a, "a").join(b, "b").where(
-        (n_a * whole >= share * n_b) & (n_b * whole >= share * n_a)).withColumn("shared", shared).where("shared is not null")
-    distance = F.aggregate(F.zip_with(bits("s_a"), bits("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return joined.where(distance * (whole + share) <= (n_a + n_b) * (whole - share)).select("a", "b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """Pairs whose shingle sets are similar enough, compared word by word."""
-    joined = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+    pairs = pairs.hint("merge")
+    joined = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").hint("merge").join(
         texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(values: Iterator[tuple]) -> Iterable[tuple]:
-        share, whole = LEAST
         known = functools.lru_cache(maxsize=4)(shingle_set)
         for left, right in values:
-            x, y = known(left), known(right)
+            x, y = known(left, like.width), known(right, like.width)
             both = len(x & y)
-            yield (whole * both >= share * (len(x) + len(y) - both),)
+            yield (like.whole * both >= like.share * (len(x) + len(y) - both),)
 
     added = T.StructType([T.StructField("linked", T.BooleanType())])
     return per_row(joined, ["text_a", "text_b"], added, run, keep=["a", "b"]).where("linked").select("a", "b")
 
 
-def _next_pairs(members: DataFrame, linked: DataFrame | None, tested: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b) with a < b to compare: a star in each bucket, or in the last round all that is left open."""
-    if linked is None:
-        placed = members.withColumn("component", F.col("row")).select("key", "row", "doc", "component")
-    else:
-        placed = members.join(linked.withColumnRenamed("node", "row"), "row", "left").select(
-            "key", "row", "doc", F.coalesce("component", "row").alias("component"))
+def _star_pairs(members: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b) with a < b: every member of a bucket with ``CENTERS`` of its members, chosen by a hash."""
+    chosen = members.groupBy("key").agg(*[
+        F.min_by("doc", F.xxhash64("row", "key", F.lit(i))).alias(f"c{i}") for i in range(CENTERS)])
+    # Written, so that a bucket with many members can be split in the join.
+    chosen = materialize(chosen, "centers")
+    met = members.join(chosen, "key").select("doc", F.explode(F.array(*[f"c{i}" for i in range(CENTERS)])).alias("other"))
+    return _pairs(met.where("doc.row <> other.row"), like)
+
+
+def _open_pairs(members: DataFrame, linked: DataFrame, tested: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b) with a < b: members of one bucket in different components that were not compared yet."""
+    placed = members.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
     placed = materialize(placed, "placed")
-    ends = placed.groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"),
-        F.min_by(F.struct("doc", "component"), F.xxhash64("row", "key", F.lit(turn))).alias("center")).where("x < y")
-    ends = materialize(ends.select("key", F.col("center.doc").alias("other"), F.col("center.component").alias("c")), "open")
-    near = _may_link(F.col("doc"), F.col("other"))
-    if turn < STAR_ROUNDS:
-        met = placed.join(ends, "key").where(F.expr("component <> c") & near)
-    else:
-        left = materialize(placed.join(ends.select("key"), "key"), "open_lanes")
-        met = left.join(left.select("key", F.col("doc").alias("other"), F.col("component").alias("c")), "key").where(
-            F.expr("doc.row < other.row and component <> c") & near)
-    met = met.select(F.least("doc.row", "other.row").alias("a"), F.greatest("doc.row", "other.row").alias("b")).distinct()
-    return met if tested is None else met.join(tested, ["a", "b"], "left_anti")
-
-
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    wide = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    left = materialize(placed.join(wide.select("key"), "key"), "open_lanes")
+    right = left.select("key", F.col("doc").alias("other"), F.col("component").alias("c"))
+    met = left.join(right, "key").where("doc.row < other.row and component <> c")
+    return _pairs(met, like).join(tested, ["a", "b"], "left_anti")
+
+
+def _pairs(met: DataFrame, like: Similarity) -> DataFrame:
+    close = met.where(_may_link(F.col("doc"), F.col("other"), like))
+    return close.select(F.least("doc.row", "other.row").alias("a"), F.greatest("doc.row", "other.row").alias("b")).distinct()
+
+
+def near_groups(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print, n_shingles, component_id, kept) for every row of ``df``; one row of each component is kept."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_print(F.col(text)).alias("print"))
-    sketched = materialize(_sketched(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketched = materialize(_sketched(docs, like).withColumn("row", F.monotonically_increasing_id()), "sketches")
     rows = sketched.select("row", "doc_id", "print", "n_shingles", "set_key")
     classes = materialize(rows.where("n_shingles > 0").groupBy("n_shingles", "set_key").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("size"),
+        F.min("row").alias("node"), F.min("doc_id").alias("least_id"),
         F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row")), "classes")
     # Only one document of each class goes on.
-    nodes = sketched.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    # The merge hints keep the plan of the large joins alike at every size.
+    nodes = sketched.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
     lanes = materialize(nodes.select("row", F.explode("lanes").alias("l")).select(
         "row", F.col("l.spare").alias("spare"), F.explode("l.keys").alias("key")), "lanes")
     busy = materialize(lanes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "busy_lanes")
-    # A band has its own number of spare lanes, so the two bands of a document stay apart.
+    # A band has its own number of spare lanes, so the bands of a document stay apart.
     frequent = Window.partitionBy("row", "spare").orderBy(F.desc("n"), "key")
-    members = materialize(lanes.join(busy, "key").withColumn("place", F.row_number().over(frequent))
-                          .where("place > spare").select("key", "row"), "members")
-    met = members.select("row").distinct()
-    candidates = materialize(sketched.join(met, "row", "left_semi").select(
-        "row", "doc_id", "print", "n_shingles", "short", "sketches"), "candidates")
-    members = materialize(members.join(candidates.select("row", F.struct(
-        "row", F.col("n_shingles").alias("n"), *[F.get("short", F.lit(i)).alias(f"w{i}") for i in range(SHORT_WORDS)]).alias("doc")), "row"), "members")
-    named = candidates.select("row", F.col("doc_id").alias("i"), F.col("print").alias("p"))
+    busy_rows = materialize(lanes.join(busy, "key").withColumn("place", F.row_number().over(frequent))
+                            .where("place > spare").select("key", "row"), "busy_rows")
+    discard(lanes, busy)
+    met = busy_rows.select("row").distinct().hint("merge")
+    candidates = materialize(sketched.join(met, "row", "left_semi").select("row", "doc_id", "print", F.struct(
+        "row", F.col("n_shingles").alias("n"), *[F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(SKETCH_WORDS)]
+    ).alias("doc")), "candidates")
+    members = materialize(busy_rows.join(candidates.select("row", "doc"), "row"), "members")
+    named = candidates.select("row", F.col("doc_id").alias("i"), F.col("print").alias("p")).hint("merge")
     texts = materialize(docs.join(named, docs.doc_id.eqNullSafe(named.i) & (docs.print == named.p))
                         .select("row", "text").dropDuplicates(["row"]), "candidate_texts")
 
-    linked, links, tested, turn = None, None, None, 0
-    while turn <= STAR_ROUNDS:
-        pairs = materialize(_next_pairs(members, linked, tested, turn), "pairs")
-        fresh = materialize(_verified(materialize(_close(pairs, candidates), "close"), texts), "links")
-        links = fresh if links is None else links.union(fresh)
-        tested = pairs if tested is None else tested.union(pairs)
-        if linked is None or not fresh.isEmpty():
-            linked = materialize(components(links, "a", "b"), "linked")
-        elif turn < STAR_ROUNDS:
-            turn = STAR_ROUNDS - 1
-        turn += 1
+    first = materialize(_star_pairs(members, like), "star_pairs")
+    links = materialize(_verified(first, texts, like), "links")
+    linked = materialize(components(links, "a", "b"), "linked")
+    second = materialize(_open_pairs(members, linked, first, like), "open_pairs")
+    more = materialize(_verified(second, texts, like), "links")
+    if not more.isEmpty():
+        linked = materialize(components(links.union(more), "a", "b"), "linked")
+    discard(busy_rows, members, texts)
 
     grouped = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.coalesce(
@@ -268,7 +270,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         (lone | (F.col("row") == F.col("stays"))).alias("kept"))
 
 
-def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one document of each component, its columns as they are."""
-    judged = materialize(near_groups(df, doc_id, text), "judged")
+    judged = materialize(near_groups(df, like, doc_id, text), "judged")
     return drop_unkept(df, judged, doc_id, text)
