@@ -32,7 +32,7 @@ WINDOW, STEP = 48, 24
 OTHER_ROWS = 1500
 LEAST_SHARE = 0.6
 OTHER = "other"
-GATE = r"licen[cs]|copyright|permission|redistribut|warrant|creative commons|public domain|spdx|\bgpl|\bcc by"
+GATE = r"licen[cs]|copyright|permission|redistribut|warrant|creative commons|public domain|spdx|gpl|\bcc by"
 
 # How licence families are commonly stated.
 TEMPLATES = {
