@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from checks.registry import Tables, check, title_sql
 from emberfield.session import scratch_path
+from emberfield.functions.geometry import polygon_edges
 from emberfield.sources.landed import (
-    census_codes, census_measures, explode_census_array, read_crime_pages, read_crosswalk_pages,
-    read_incident_pages, read_keyed_csv, read_loose_csv, read_parcel_pages, read_table)
-from emberfield.sources.sinks import hash_sample, sample_rows, write_csv, write_table
+    census_codes, census_measures, explode_census_array, find_source, read_census, read_crime_pages, read_crosswalk_pages,
+    read_incident_pages, read_keyed_csv, read_loose_csv, read_parcel_pages, read_polygons, read_table)
+from emberfield.sources.sinks import hash_sample, sample_rows, write_csv, write_statistics, write_table
 
 
 @check("census_array_json", """
@@ -145,3 +146,67 @@ def sample(t: Tables):
 @check("hash_sample", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 5")
 def hashed(t: Tables):
     return hash_sample(t.orders, ["o_orderkey"])
+
+
+@check("polygons_file", f"""
+SELECT {title_sql("n_name")} AS neighborhood, CAST(4 AS BIGINT) AS edges, CAST(n_nationkey * 3 AS DOUBLE) AS low_x FROM nation
+""")
+def polygons(t: Tables):
+    """District outlines as one GeoJSON collection, boxes at a place of their own."""
+    path = scratch_path(t.spark, "polygons")
+    x = F.col("n_nationkey") * 3.0
+    ring = F.array(*[F.array(x + dx, F.lit(dy)) for dx, dy in ((0., 0.), (2., 0.), (2., 1.), (0., 1.), (0., 0.))])
+    feature = F.struct(F.struct(F.col("n_name").alias("nhood")).alias("properties"), F.struct(
+        F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    # A collection is one document; the nation table has as many rows as there are districts.
+    t.nation.agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).write.text(path)
+    found = read_polygons(t.spark, path).select("neighborhood", F.explode(F.array(polygon_edges(F.col("geometry")))).alias("e"))
+    return found.select("neighborhood", F.size("e").cast("long").alias("edges"),
+                        F.array_min(F.transform("e", lambda v: v["x1"])).alias("low_x"))
+
+
+@check("census_files", """
+SELECT '06' || '075' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS geoid, CAST(c_nationkey AS DOUBLE) AS total_population,
+       CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS DOUBLE) END AS median_household_income FROM customer
+""")
+def census_files(t: Tables):
+    """Two landed files with different tracts and codes, merged on the tract."""
+    path = scratch_path(t.spark, "census-files")
+    key = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+
+    def write(rows, code: str, value, name: str) -> str:
+        head = F.array(*[F.lit(x) for x in ("NAME", code, "state", "county", "tract")])
+        row = F.array(F.lit("Tract"), value.cast("string"), F.lit("06"), F.lit("075"), key)
+        # A census file is one JSON array with the header first; a county has few tracts.
+        table = rows.agg(F.concat(F.array(F.first(head)), F.collect_list(row)).alias("table"))
+        table.select(F.to_json("table").alias("value")).write.text(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    files = [write(t.customer, "B01003_001E", F.col("c_nationkey"), "population"),
+             write(t.customer.where("c_custkey % 2 = 0"), "B19013_001E", F.col("c_custkey"), "income")]
+    return read_census(t.spark, files).select("geoid", "total_population", "median_household_income")
+
+
+@check("source_lookup", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS DOUBLE) END AS ems_units FROM orders
+""")
+def source_lookup(t: Tables):
+    """A folder without the parquet table: the CSV file in it is found and typed."""
+    path = scratch_path(t.spark, "lookup")
+    write_csv(t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.when(
+        F.col("o_orderstatus") == "P", "N/A").otherwise(F.col("o_custkey").cast("string")).alias("ems_units")).repartition(1), path)
+    return find_source(t.spark, path)
+
+
+@check("statistics_file", """
+SELECT 'orders' AS section, o_orderpriority AS item, 'n' AS metric, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY 2
+UNION ALL SELECT 'orders', o_orderpriority, 'say "top", x', CAST(max(o_custkey) AS VARCHAR) FROM orders GROUP BY 2
+""")
+def statistics_file(t: Tables):
+    """The long statistics table written and read back."""
+    path = scratch_path(t.spark, "statistics")
+    sums = t.orders.groupBy(F.col("o_orderpriority").alias("item")).agg(
+        F.count("*").cast("string").alias("n"), F.max("o_custkey").cast("string").alias('say "top", x'))
+    write_statistics(sums.withColumn("section", F.lit("orders")).unpivot(
+        ["section", "item"], ["n", 'say "top", x'], "metric", "value"), path)
+    return read_keyed_csv(t.spark, path, "section string, item string, metric string, value string")

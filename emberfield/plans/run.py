@@ -10,15 +10,18 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberfield import constants as K
 from emberfield.operators.columns import present
-from emberfield.operators.nearest import stack_snapshots
+from emberfield.operators.nearest import snapshot_mapping, stack_snapshots
 from emberfield.operators.profile import column_summary, table_inventory
-from emberfield.plans.incidents import attach_rollups, build_rollups, feature_table
+from emberfield.operators.spatial import unusable_geometries
+from emberfield.plans.incidents import Rollups, attach_rollups, build_rollups, feature_table, missing_measures
 from emberfield.plans.report import prepare_export, report_tables
 from emberfield.plans.statistics import statistics_long
 from emberfield.plans.study import run_study
+from emberfield.session import discard, materialize
 from emberfield.sources import landed as L
 from emberfield.sources import sinks as S
 
@@ -42,7 +45,10 @@ def land(
         if name in readers:
             S.write_table(readers[name](spark, f"{landing}/{name}", lines), out(name))
         elif name == "crosswalk":
-            S.write_csv(L.read_crosswalk_pages(spark, f"{landing}/{name}", lines), out(name))
+            pairs = L.read_crosswalk_pages(spark, f"{landing}/{name}", lines)
+            S.write_csv(pairs, out(name))
+            S.write_csv(pairs.agg(F.count("*").alias("pairs"), F.count_distinct("geoid").alias("tracts"),
+                                  F.count_distinct("neighborhood").alias("districts")), f"{raw}/metrics/crosswalk")
         elif name == "tracts":
             for year in years:
                 files = [r["path"] for r in L.file_sizes(spark, f"{landing}/tracts/{year}", "*.json")
@@ -84,7 +90,31 @@ def build(spark: SparkSession, raw: str, results: str, years: Sequence[int] = tu
     S.write_csv(rollups.land, out("land"))
     S.write_table(attach_rollups(incidents, rollups, years), out("base"))
     S.write_table(feature_table(spark.read.parquet(out("base"))), out("features"))
-    return spark.read.parquet(out("features"))
+    features = spark.read.parquet(out("features"))
+    write_tables(build_metrics(inputs["parcels"], rollups, spark.read.parquet(out("base")), features), f"{results}/metrics")
+    return features
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, table in tables.items():
+        S.write_csv(table, f"{folder}/{name}")
+
+
+def build_metrics(parcels: DataFrame, rollups: Rollups, base: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
+    """What the build step reports: snapshots used, parcels matched, totals, missing measures, rates."""
+    used = unusable_geometries(parcels, F.col("the_geom.type"), F.col("the_geom.coordinates"))
+    matched = F.sum("parcel_count").alias("matched")
+    return {
+        "snapshots": snapshot_mapping(base, column="acs_year"),
+        "parcels": used,
+        "land_totals": rollups.land.agg(matched, F.sum("total_area_sqft").alias("total_area_sqft")),
+        "crime_totals": rollups.crime.agg(*[F.sum(c).alias(c) for c in (
+            "total_crimes", "violent_crime_count", "property_crime_count")]),
+        "census_totals": rollups.census.groupBy("snapshot_year").agg(
+            F.count("*").alias("districts"), F.sum("total_population").alias("total_population")),
+        "missing": missing_measures(base),
+        "rates": column_summary(features, present(features, K.RATES)),
+    }
 
 
 def overview(spark: SparkSession, raw: str, results: str) -> dict[str, DataFrame]:
@@ -111,18 +141,26 @@ def overview(spark: SparkSession, raw: str, results: str) -> dict[str, DataFrame
 
 
 def statistics(spark: SparkSession, raw: str, out: str) -> None:
-    S.write_statistics(statistics_long(L.find_source(spark, raw)), out)
+    """The export is parsed once and kept in columns; every section reads the few columns it needs."""
+    export = materialize(L.find_source(spark, raw), "export")
+    S.write_statistics(statistics_long(export), out)
+    discard(export)
 
 
 def report(spark: SparkSession, raw: str, out: str) -> None:
-    for name, table in report_tables(prepare_export(L.find_source(spark, raw))).items():
-        S.write_csv(table, f"{out}/{name}")
+    """The prepared export is written once in columns; every table reads the few columns it needs."""
+    export = materialize(prepare_export(L.find_source(spark, raw)), "export")
+    write_tables(report_tables(export), out)
+    discard(export)
 
 
 def study(spark: SparkSession, results: str, out: str) -> None:
     features = L.read_table(spark, f"{results}/{K.RESULT_FILES['features']}", "Build the tables first.")
-    for name, table in run_study(features).items():
-        S.write_csv(table, f"{out}/{name}")
+    write_tables(run_study(features), out)
+
+
+def write_overview(spark: SparkSession, raw: str, results: str) -> None:
+    write_tables(overview(spark, raw, results), f"{results}/overview")
 
 
 def export_sample(spark: SparkSession, results: str, out: str, n: int = 100) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberfield import constants as K
 from emberfield.operators.design import (
-    model_input, quartile_profile, sample_summary, stratum)
+    model_input, model_input_counts, quartile_profile, sample_summary, stratum)
 from emberfield.operators.frequency import top_rows
 from emberfield.operators.regression import CONST, Fit, coefficient_table, fit_ols, nested_rsquared
 from emberfield.operators.rollup import group_rates
@@ -56,7 +56,7 @@ def run_study(features: DataFrame) -> dict[str, DataFrame]:
     """Every table of the study by name."""
     spark = features.sparkSession
     df = materialize(model_input(features), "model-input")
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {"rows": model_input_counts(features)}
 
     full = full_model(df)
     out["full_model"] = coefficient_table(spark, {"all": full.fit})
@@ -81,6 +81,7 @@ def run_study(features: DataFrame) -> dict[str, DataFrame]:
     complete = rates.dropna(subset=K.SOCIO_COLUMNS)
     out["fire_rate_model"] = coefficient_table(
         spark, fit_ols(complete, "rate_pct", K.SOCIO_COLUMNS, cov="classic"))
+    out["clustered_model"] = clustered_model(df.dropna(subset=[*K.SOCIO_COLUMNS]))
     return out
 
 

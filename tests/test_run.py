@@ -132,7 +132,9 @@ def test_one_hot_district_is_split(spark, inputs, no_broadcast):  # noqa: F811
     from emberfield.plans import incidents
 
     rollups = incidents.build_rollups(*[inputs[k] for k in ("tracts", "crosswalk", "crime", "parcels", "polygons")])
-    hot = inputs["incidents"].limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("copy")
+    hot = inputs["incidents"].where("alarm_dttm is not null").limit(1).withColumn(
+        "arrival_dttm", F.expr("alarm_dttm + interval 5 minutes")).withColumn(
+            "copy", F.explode(F.sequence(F.lit(1), F.lit(20_001)))).drop("copy")
     facts = inputs["incidents"].union(hot).repartition(8)
     small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
              "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
