@@ -6,8 +6,8 @@ ranks are refreshed. Words beyond ``LONG_WORD`` bytes hold the same arrays in a
 that a long run without white space costs n log n instead of n squared; the result is the same.
 
 Defined results: a null text encodes as the empty list and decodes to the empty text; the special
-token's string in a text becomes its single id; texts are never cut. Columns of the input named like
-an added column raise an error rather than being overwritten.
+token's string in a text becomes its single id; texts are never cut. An input column named like an
+added one is replaced.
 """
 
 from __future__ import annotations
@@ -19,14 +19,21 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from emberfield.llm.common import without
+
 LONG_WORD = 400
-#: Words remembered by one task; the table is emptied when it is full.
-CACHE_WORDS = 500_000
+#: Words up to this length are merged many at a time, at most ``ROWS`` in one array.
+ROW_WORD, ROWS = 48, 20_000
+#: Texts whose words are looked up and merged together.
+GROUP = 1024
+#: Words remembered by one task, and stretches per generation.
+CACHE_WORDS, CACHE_STRETCHES = 600_000, 100_000
 NO_RANK = 1 << 62
 ID_MASK = (1 << 32) - 1
 
@@ -54,11 +61,19 @@ _STAND_IN = chr(0xE000)  # a private-use symbol: neither letter, digit nor white
 
 def pieces(text: str) -> list[str]:
     """The words that are merged separately."""
-    if text.isascii() or not _LATER.search(text):
+    if not has_later(text):
         return _PIECES.findall(text)
     return [text[slice(*m.span())] for m in _PIECES.finditer(_LATER.sub(_STAND_IN, text))]
 
 
+def has_later(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # much faster than a search, and true for most texts
+        return False
+    except UnicodeEncodeError:
+        return _LATER.search(text) is not None
+
+
 def byte_letters() -> list[str]:
     """The printable character by which the vocabulary file names each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -85,10 +100,13 @@ class Vocabulary:
         self.pairs = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(model["merges"])}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.bytes_of |= {i: s.encode() for s, i in special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
         self.cache: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         parts = [self.first[b] for b in word.encode("utf-8")]
@@ -110,6 +128,106 @@ class Vocabulary:
                 ranks[i] = get(parts[i] << 32 | parts[i + 1], NO_RANK)
         return parts
 
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """``merge`` for many words: rows of one array per word length are scanned and shortened together."""
+        raw = [w.encode("utf-8") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, r in enumerate(raw):
+            by_length.setdefault(len(r), []).append(i)
+        for length, members in by_length.items():
+            if length > ROW_WORD:
+                for i in members:
+                    out[i] = array.array("i", self.merge(words[i])).tobytes()
+                continue
+            for start in range(0, len(members), ROWS):
+                some = members[start:start + ROWS]
+                rows = np.frombuffer(b"".join(raw[i] for i in some), np.uint8).reshape(len(some), length)
+                ids, width = self._merge_rows(rows)
+                cut = (4 * width).tolist()
+                for i, row, end in zip(some, ids, cut):
+                    out[i] = row.tobytes()[:end]
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        place = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[place] == pair, self.pair_ranks[place], NO_RANK)
+
+    def _merge_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Part ids of words of one length, left-aligned, and how many parts each word has."""
+        count, length = rows.shape
+        ids = np.full((count, length + 1), -1, np.int32)
+        ids[:, :length] = np.array(self.first, np.int32)[rows]
+        ranks = np.full((count, length + 1), NO_RANK, np.int64)
+        if length > 1:
+            ranks[:, :length - 1] = self._ranks(ids[:, :length - 1], ids[:, 1:length])
+        width, live, column = np.full(count, length), np.arange(count), np.arange(length)
+        while len(live):
+            at = ranks[live].argmin(1)
+            least = ranks[live, at]
+            merged = least != NO_RANK
+            live, at, least = live[merged], at[merged], least[merged]
+            if not len(live):
+                break
+            # Delete the boundary: everything to its right moves one place to the left.
+            ids[live, at] = least & ID_MASK
+            ids[live, :length] = np.take_along_axis(ids[live], column + (column > at[:, None]), 1)
+            ranks[live, :length] = np.take_along_axis(ranks[live], column + (column >= at[:, None]), 1)
+            width[live] -= 1
+            right = ids[live, at + 1]
+            ranks[live, at] = np.where(right >= 0, self._ranks(ids[live, at], right), NO_RANK)
+            inner = at > 0
+            row, left = live[inner], at[inner] - 1
+            ranks[row, left] = self._ranks(ids[row, left], ids[row, left + 1])
+        return ids, width
+
+    def packed_many(self, texts: list[str]) -> list[bytes]:
+        """``packed`` of each text; the words of all of them are looked up and merged together."""
+        odd = {i for i, t in enumerate(texts) if self.marked(t) or has_later(t)}
+        cut = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
+        here = self._stretches(set().union(*(c[1:] for c in cut)))
+        out = []
+        for text, (head, *rest) in zip(texts, (c or [""] for c in cut)):
+            try:
+                if not head or head.strip() != head:
+                    raise KeyError
+                out.append(self._pieces(head) + b"".join(map(here.__getitem__, rest)))
+            except KeyError:  # a stretch that the pattern does not cut alone
+                out.append(self.packed(text))
+        return out
+
+    def _stretches(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of stretches between spaces, each with the space before it.
+
+        A stretch between two spaces is independent of the others if it neither is empty nor has
+        white space at an end: the pattern gives the space before it to its first word. Others, and
+        very long ones, are left out. Stretches seen lately are remembered in two generations.
+        """
+        recent = self.recent
+        new = wanted.difference(recent)
+        again = new.intersection(self.older)
+        recent.update((s, self.older[s]) for s in again)
+        cut = [s for s in new - again if s and len(s) <= LONG_WORD and s.strip() == s]
+        if cut:
+            words = _PIECES.findall(" " + " ".join(cut))
+            fresh = list(set(words).difference(self.cache))
+            if len(self.cache) + len(fresh) > CACHE_WORDS:
+                self.cache.clear()
+                fresh = list(set(words))
+            self.cache.update(zip(fresh, self.merge_many(fresh)))
+            # Within a stretch no word begins with a space, so each space begins the next stretch.
+            ids = list(map(self.cache.__getitem__, words))
+            begins = [i for i, w in enumerate(words) if w[0] == " "]
+            ends = begins[1:] + [len(words)]
+            recent.update(zip(cut, [ids[i] if j == i + 1 else b"".join(ids[i:j]) for i, j in zip(begins, ends)]))
+        if len(recent) > CACHE_STRETCHES:
+            self.older, self.recent = recent, {}
+        return recent
+
+    def marked(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def _merge_long(self, parts: list[int]) -> list[int]:
         pairs, n = self.pairs, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -132,39 +250,10 @@ class Vocabulary:
 
     def packed(self, text: str) -> bytes:
         """The ids as consecutive four-byte integers, which is how words are remembered."""
-        if any(s in text for s in self.special):
-            return b"".join(self.special[c].to_bytes(4, sys.byteorder) if c in self.special else self._words(c)
+        if self.marked(text):
+            return b"".join(self.special[c].to_bytes(4, sys.byteorder) if c in self.special else self._pieces(c)
                             for c in self.split.split(text))
-        return self._words(text)
-
-    def _words(self, text: str) -> bytes:
-        """Ids of a text without special tokens, looked up stretch by stretch.
-
-        A stretch between two spaces is independent of the others if it neither is empty nor has
-        white space at an end: the pattern gives the space before it to its first word. Such
-        stretches are remembered; a text with any other stretch is cut by the pattern as a whole.
-        """
-        head, *rest = text.split(" ")
-        known = self.stretches
-        try:
-            return self._pieces(head) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            pass
-        if head.strip() != head or not head:
-            return self._pieces(text)
-        out = [self._pieces(head)]
-        for stretch in rest:
-            got = known.get(stretch)
-            if got is None:
-                if stretch.strip() != stretch or not stretch:
-                    return self._pieces(text)
-                got = self._pieces(" " + stretch)
-                if len(stretch) <= LONG_WORD:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[stretch] = got
-            out.append(got)
-        return b"".join(out)
+        return self._pieces(text)
 
     def _pieces(self, text: str) -> bytes:
         cache, out = self.cache, []
@@ -197,24 +286,20 @@ def _spread_vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def _refuse(df: DataFrame, name: str) -> None:
-    if name in df.columns:
-        raise ValueError(f"the input already has a column {name}")
-
-
 def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` without ``text`` and with ``ids``: the token ids of the whole text."""
-    _refuse(df, ids)
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in without(df, [ids]) if c != text]
     source = _spread_vocabulary(df, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = vocabulary(source.value).packed
+        words = vocabulary(source.value)
         for batch in batches:
             made, ends = [], [0]
-            for value in batch.column(text):
-                made.append(packed(value.as_py() or ""))
-                ends.append(ends[-1] + len(made[-1]) // 4)
+            for start in range(0, batch.num_rows, GROUP):
+                texts = [v or "" for v in batch.column(text).slice(start, GROUP).to_pylist()]
+                for ids_of_text in words.packed_many(texts):
+                    made.append(ids_of_text)
+                    ends.append(ends[-1] + len(ids_of_text) // 4)
             flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(made))])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], names=[*keep, ids])
@@ -225,13 +310,13 @@ def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str
 
 def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``: the text of the token ids, special tokens included."""
-    _refuse(df, text)
+    keep = without(df, [text])
     source = _spread_vocabulary(df, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = vocabulary(source.value).decode
         for batch in batches:
             made = pa.array([decode(v.as_py() or []) for v in batch.column(ids)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())]))

@@ -22,15 +22,11 @@ def texts():
 def test_like_the_library():
     with open(PATH, encoding="utf-8") as file:
         ours, theirs = Vocabulary(file.read()), Tokenizer.from_file(PATH)
-    some = texts()
-    for first in (False, True):  # by single words, then with words learnt together
-        if first:
-            for i in range(0, len(some), 64):
-                ours.learn(some[i:i + 64])
-        for text in some:
-            ids = theirs.encode(text, add_special_tokens=False).ids
-            assert ours.encode(text) == ids, text
-            assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False) == text
+    some = texts() + [" ".join(f"w{i * j % 97}x{j}" for j in range(40)) for i in range(300)]
+    for text, packed in zip(some, ours.packed_many(some)):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == memoryview(packed).cast("i").tolist() == ids, text
+        assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False) == text
     assert len(set(byte_letters())) == 256
 
 
