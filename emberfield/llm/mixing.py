@@ -34,7 +34,7 @@ BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 4096
 MOST_REPEATS = 3
 #: Rows that one stretch of a source's stream holds; running sums are taken inside a stretch.
-STRETCH_ROWS = 20_000
+STRETCH_ROWS = 2_500
 #: Slots generated from one row.
 SLOT_RUN = 65_536
 
