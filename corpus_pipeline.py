@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfield.llm import bpe, exact_dedup, mixing, parity_join, quality_rules
-from emberfield.llm.queries import bpe_vocabulary_path
+from emberfield.llm.queries import bpe_vocabulary_path, show_package_to_workers
 from emberfield.session import materialize
 
 #: Near copies of whole documents: five-word shingles, similarity of 0.8 or more.
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    show_package_to_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
