@@ -31,9 +31,9 @@ LONG_WORD = 400
 #: Words up to this length are merged many at a time, at most ``ROWS`` in one array.
 ROW_WORD, ROWS = 48, 20_000
 #: Texts whose words are looked up and merged together.
-GROUP = 1024
+GROUP = 512
 #: Words remembered by one task, and stretches per generation.
-CACHE_WORDS, CACHE_STRETCHES = 600_000, 100_000
+CACHE_WORDS, CACHE_STRETCHES = 350_000, 60_000
 NO_RANK = 1 << 62
 ID_MASK = (1 << 32) - 1
 
@@ -272,7 +272,11 @@ class Vocabulary:
         return array.array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return joined(self.bytes_of, ids)
+
+
+def joined(bytes_of: dict[int, bytes], ids: list[int]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -311,12 +315,14 @@ def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str
 def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``: the text of the token ids, special tokens included."""
     keep = without(df, [text])
-    source = _spread_vocabulary(df, vocabulary_path)
+    with open(vocabulary_path, encoding="utf-8") as file:
+        # Only the byte strings travel, about a megabyte.
+        spread = df.sparkSession.sparkContext.broadcast(Vocabulary(file.read()).bytes_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = vocabulary(source.value).decode
+        table = spread.value
         for batch in batches:
-            made = pa.array([decode(v.as_py() or []) for v in batch.column(ids)], pa.string())
+            made = pa.array([joined(table, v.as_py() or []) for v in batch.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, text])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())]))
