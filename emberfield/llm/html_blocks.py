@@ -43,10 +43,20 @@ GROUP = 128
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
-HIDDEN_TEXT = ("script", "style", "title", "noscript", "template", "iframe", "textarea", "svg", "object", "head")
-CLOSES_ITSELF = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
-                 "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BOUNDARIES = frozenset("ul ol dl table select body article section div td th".split())
+HIDDEN_TEXT = frozenset("script style title noscript noframes noembed iframe textarea template svg object".split())
+#: Of these, the ones whose content is no markup: they end at their own end tag only.
+RAW_TEXT = HIDDEN_TEXT - {"template", "svg", "object"}
+#: What a head may hold; anything else ends it, as its end tag is optional.
+HEAD_TAGS = frozenset("html base basefont bgsound link meta title noscript noframes style script template".split())
+# Optional end tags: what a start tag closes, up to the next boundary.
+_ROW = ("tr", "td", "th", "caption", "colgroup")
+_GROUP = (*_ROW, "thead", "tbody", "tfoot")
+CLOSES_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": _ROW, "thead": _GROUP, "tbody": _GROUP, "tfoot": _GROUP,
+                 "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"),
+                 "rt": ("rt", "rp"), "rp": ("rt", "rp")}
+CLOSES_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+                     "h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
+BOUNDARIES = frozenset("ul ol dl table select body article section div td th button caption".split()) | HIDDEN_TEXT
 # Where text is not main text, by element and by class or id.
 ASIDE_TAGS = frozenset("nav header footer aside form button select dialog menu".split())
 ASIDE_WORDS = frozenset(
@@ -57,11 +67,16 @@ ASIDE_WORDS = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\"<>])*(?:>|\Z|(?=<))"
-                    r"|[^<]+|<", re.S)
+# A quote opens a value only behind an equals sign.
+_PAIR = r"([^\s/<>][^\s/<>=]*+)(?:\s*+=(?:\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>][^\s<>]*+)))?+)?+"
+_PAIRS = re.compile(_PAIR)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/<>]*+(?:[\s/]++|{_PAIR})*+(?:>|\Z|(?=<))|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_UNSEEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none", re.I)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NONE = re.compile(r"none\s*(?:!\s*important\s*)?", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
+_SCRIPT_PART = re.compile(r"<!--(?:-?>)?|-->|</?script(?=[\s/>])", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"\w+")
 
@@ -77,7 +92,8 @@ class Block:
 class _Cutter:
     """Walks over the tokens of a page with the stack of open elements."""
 
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    #: Name, class and id words, whether it or an ancestor is hidden.
+    stack: list[tuple[str, tuple[str, ...], bool]] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -86,28 +102,43 @@ class _Cutter:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                path = tuple(w for name, words in self.stack for w in (name, *words))
+                path = tuple(w for name, words, _ in self.stack for w in (name, *words))
                 self.blocks.append(Block(text, path, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    @property
+    def hidden(self) -> bool:
+        return bool(self.stack) and self.stack[-1][2]
+
+    def leave_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.close("head")
+
     def text(self, raw: str) -> None:
+        if raw.strip(" \t\n\f\r"):
+            self.leave_head()
+        if self.hidden:
+            return
         self.parts.append(raw)
-        if any(name == "a" for name, _ in self.stack):
+        if any(name == "a" for name, _, _ in self.stack):
             self.linked += len(raw.strip())
 
-    def open(self, name: str, words: tuple[str, ...]) -> None:
-        if name == "br":
+    def open(self, name: str, words: tuple[str, ...], unseen: bool = False) -> None:
+        if name not in HEAD_TAGS:
+            self.leave_head()
+        if name == "br" and not self.hidden:
             self.parts.append(" ")
         if name not in INLINE:
             self.flush()
+        closes, closes_p = CLOSES_ITSELF.get(name, ()), name in CLOSES_P
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in CLOSES_ITSELF.get(name, ()) or name not in INLINE and self.stack[i][0] == "p":
+            above = self.stack[i][0]
+            if above in closes or closes_p and above == "p":
                 del self.stack[i:]
-                break
-            if self.stack[i][0] in BOUNDARIES:
+            elif above in BOUNDARIES:
                 break
         if name not in VOID:
-            self.stack.append((name, words))
+            self.stack.append((name, words, unseen or self.hidden))
 
     def close(self, name: str) -> None:
         if name not in INLINE:
@@ -116,42 +147,91 @@ class _Cutter:
             if self.stack[i][0] == name:
                 del self.stack[i:]
                 return
+            if self.stack[i][0] in ("template", "object"):
+                return
 
 
 def cut_page(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with decoded text and ancestor path."""
-    cutter, skip = _Cutter(), ""
+    cutter, at = _Cutter(), 0
     if not page:
         return []
-    tokens = _TOKEN.finditer(page)
-    for token in tokens:
-        raw = token[0]
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        raw, at = token[0], token.end()
         if raw[0] != "<" or raw == "<":
-            if not skip:
-                cutter.text(raw)
+            cutter.text(raw)
             continue
         name = _NAME.match(raw)
-        if not name:
-            continue
-        tag, ends = name[1].lower(), raw[1] == "/"
-        if skip:
-            if ends and tag == skip:
-                skip = ""
+        if not name or not raw.endswith(">"):
             continue
-        if not raw.endswith(">"):
-            continue
-        if ends:
+        tag = name[1].lower()
+        if raw[1] == "/":
             cutter.close(tag)
-        elif tag in HIDDEN_TEXT or _UNSEEN.search(raw) and tag not in VOID:
+        elif tag in HIDDEN_TEXT:
             cutter.flush()
-            if not raw.endswith("/>"):
-                skip = tag
+            if tag not in HEAD_TAGS:
+                cutter.leave_head()
+            if _empty(raw, name.end()):
+                continue
+            if tag in RAW_TEXT:
+                at = _raw_end(page, at, tag)
+            else:
+                cutter.stack.append((tag, (), True))
+        elif cutter.hidden and _empty(raw, name.end()):
+            continue
         else:
-            cutter.open(tag, _words(raw) if len(raw) > len(tag) + 2 else ())
+            unseen = tag not in VOID and bool(_MAY_HIDE.search(raw)) and _unseen(raw, name.end())
+            if not (unseen and _empty(raw, name.end())):
+                cutter.open(tag, _words(raw) if len(raw) > len(tag) + 2 else (), unseen)
     cutter.flush()
     return cutter.blocks
 
 
+def _raw_end(page: str, at: int, name: str) -> int:
+    """Where the end tag of a raw element starts whose content starts at ``at``; else the end of the page."""
+    plain = _RAW_END[name].search(page, at)
+    if plain and name == "script" and page.find("<!--", at, plain.start()) >= 0:
+        # Inside a comment-like part of a script, a nested pair of script tags does not end it.
+        state = 0
+        for part in _SCRIPT_PART.finditer(page, at):
+            found = part[0].lower()
+            if found == "<!--":
+                state = state or 1
+            elif found.endswith(">"):
+                state = 0
+            elif found == "<script":
+                state = 2 if state else 0
+            elif state < 2:
+                return part.start()
+            else:
+                state = 1
+    return plain.start() if plain else len(page)
+
+
+def _empty(tag: str, start: int) -> bool:
+    """Whether a start tag closes itself; a slash at the end of an unquoted value does not count."""
+    if not tag.endswith("/>"):
+        return False
+    end = max((m.end() for m in _PAIRS.finditer(tag, start)), default=0)
+    return end < len(tag) - 1
+
+
+def _unseen(tag: str, start: int) -> bool:
+    """Whether the attributes of a tag hide its element."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _PAIRS.findall(tag, start):
+        found.setdefault(name.lower(), a or b or c)
+    if "hidden" in found:
+        return True
+    display = ""
+    for declaration in re.sub(r"/\*.*?\*/", "", html.unescape(found.get("style", "")), flags=re.S).split(";"):
+        key, _, value = declaration.partition(":")
+        if key.strip().lower() == "display":
+            display = value.strip()
+    return bool(_NONE.fullmatch(display))
+
+
 def _words(tag: str) -> tuple[str, ...]:
     found = _ATTRIBUTE.findall(tag)
     return tuple("." + w for _, a, b, c in found for w in _SPLIT.split((a or b or c).lower()) if w)

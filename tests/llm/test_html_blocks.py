@@ -15,6 +15,37 @@ def test_cutting():
     assert targets(cut_page("<nav>x</nav><article><p>y</p><div class='share ad'>z</div></article>")) == [0, 1, 0]
 
 
+def texts(page):
+    return [b.text for b in cut_page(page)]
+
+
+@pytest.mark.parametrize("page", [
+    "<head><title>t</title><meta charset=x><body><p>article", "<html><head><link rel=x><div>article</div>",
+    "<head><style>p{}</style><script>x</script>\n article", "<head></head><body>article", "<head><noscript><p>n</p></noscript><template><p>n</p></template><p>article"])
+def test_head_without_end_tag(page):
+    assert texts(page) == ["article"]
+
+
+@pytest.mark.parametrize("page", [
+    "<script>for(i=0;i<n;i++){ // don't stop</script><p>The town's mayor</p><script>it's</script>",
+    "<style>a<b don't</STYLE ><p>The town's mayor", "<title>a<b don't</title><p>The town's mayor", "<textarea><p it's</textarea><p>The town's mayor",
+    "<iframe>a<b don't</iframe><p>The town's mayor", "<script><!-- w('<script>x</script>') // it's --></script><p>The town's mayor",
+    "<script src=/a/>it's</script><p>The town's mayor", "<p title=don't>The town's mayor"])
+def test_raw_text_ends_at_its_own_end_tag(page):
+    assert texts(page) == ["The town's mayor"]
+
+
+@pytest.mark.parametrize("page", [
+    '<p class="md:block hidden lg">seen', "<p title='x hidden y'>seen", "<p data-hidden=1>seen", '<p data-note="display:none">seen',
+    "<p style='x-display:none'>seen", "<p style='display:none;display:block'>seen", "<p style='content:none'>seen",
+    "<div hidden>a<div>b</div>c</div>seen", "<div style='color:red; DISPLAY : none !important'><div>b</div>c</div><p>seen",
+    "<p hidden>no<p>seen", "<ul><li hidden><p>no<li>seen</ul>", "<table><tr hidden><td>no<td>no<tr><td>seen</table>",
+    "<table><thead hidden><tr><td>no<tbody><tr><td>seen</table>", "<p hidden>no<picture></picture>no</p>seen", "<p>se<span hidden>no<br></span>en",
+    "<svg><path d=x/><svg>no</svg>no</svg>seen", "<template><p>no</div><template>no</template>no</template>seen"])
+def test_hidden_by_attributes_with_balanced_nesting(page):
+    assert texts(page) == ["seen"]
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return train_labeller(training_pages(spark.read.parquet(PAGES)))
