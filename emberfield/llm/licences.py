@@ -2,13 +2,14 @@
 
 A multinomial logistic regression on hashed word n-grams, with a penalty that leaves few weights,
 names the licence family of a paragraph, or ``other``. It is trained on the statements of
-``TEMPLATES``, on versions of them with words left out, and on a bounded sample of ordinary paragraphs.
+``TEMPLATES``, on versions of them with words left out, on their last words, and on a bounded sample of ordinary paragraphs.
 The least probability for a family is calibrated on versions that were not trained on. A prediction
 counts only if the paragraph shares enough word pairs with a statement of that family; what is
 predicted but not confirmed is counted apart, as an unknown licence.
 
-A paragraph is a line, longer ones in overlapping windows. Only paragraphs with a word of ``GATE`` are
-classified: every statement has one, and the template comparison could confirm no other paragraph.
+A paragraph is a line, longer ones in overlapping windows. Classified are the paragraphs that the template
+comparison could confirm, which hold at least ``LEAST_PAIRS`` word pairs of the templates, and those with a
+word of ``GATE``, which may state an unknown licence.
 
 Defined results: a null or empty text has no licence; repeated rows get equal results; an input column
 named like an added one is replaced.
@@ -16,6 +17,7 @@ named like an added one is replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -83,8 +85,24 @@ NOT_LICENCES = [
     "please read the license carefully", "redistribution of income is a matter of debate"]
 
 
+TOKEN = r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"
+STATED = [re.findall(TOKEN, t) for ts in TEMPLATES.values() for t in ts]
+TEMPLATE_PAIRS = frozenset(f"{a} {b}" for words in STATED for a, b in zip(words, words[1:]))
+#: A confirmed paragraph shares LEAST_SHARE of four pairs or more, hence three; one of these can be its
+#: last word, which ``pairs`` counts too. Every statement has four pairs or more, as a test checks.
+LEAST_PAIRS = 2
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def may_state(words: Column) -> Column:
+    """Whether ``words`` hold enough neighbours that some template has; true for all that can be confirmed."""
+    firsts = sorted({p.split(" ")[0] for p in TEMPLATE_PAIRS})
+    found = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: a.isin(firsts) & b.isNotNull() & (
+        F.concat(a, F.lit(" "), b).isin(sorted(TEMPLATE_PAIRS))))
+    return F.size(F.filter(found, lambda x: x)) >= LEAST_PAIRS
 
 
 def pairs(words: Column) -> Column:
@@ -108,6 +126,12 @@ def _with_gaps(words: DataFrame, turns: list[tuple[int, int]]) -> DataFrame:
     return words.select("family", F.explode(versions).alias("words")).where(F.size("words") > 2)
 
 
+def _short_forms(words: DataFrame) -> DataFrame:
+    """The last words of each statement, without what leads to the licence's name."""
+    size = F.size("words")
+    return words.select("family", F.slice("words", size - F.ceil(size * LEAST_SHARE).cast("int") + 1, size).alias("words")).where(F.size("words") > 2)
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     model: LogisticRegressionModel
@@ -135,10 +159,11 @@ def fit_licences(df: DataFrame, text: str = "text") -> LicenceModel:
     stated = template_rows(spark)
     lines = df.select(F.explode(F.split(text, "\n")).alias("line")).where(~F.col("line").rlike("(?i)" + GATE)).where("length(line) > 20")
     plain = lines.limit(OTHER_ROWS).select(F.lit(OTHER).alias("family"), F.slice(tokens(F.col("line")), 1, WINDOW).alias("words"))
+    plain = plain.where(~may_state(F.col("words")))
     families = [*TEMPLATES, OTHER]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     licences = stated.where(F.col("family") != OTHER)
-    known = stated.union(_with_gaps(licences, [(k, s) for k in (4, 5, 6) for s in range(3)])).union(_with_gaps(stated.where(F.col("family") == OTHER), [(4, 0), (5, 1)]))
+    known = stated.union(_with_gaps(licences, [(k, s) for k in (4, 5, 6) for s in range(3)])).union(_short_forms(licences)).union(_with_gaps(stated.where(F.col("family") == OTHER), [(4, 0), (5, 1)]))
     rows = known.union(plain).withColumn("label", number).withColumn("grams", grams(F.col("words")))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
     hashed = hashed.withColumn("weight", F.when(F.col("family") == OTHER, 0.2).otherwise(1.0)).select("label", "features", "weight").coalesce(1).cache()
@@ -162,13 +187,14 @@ def find_licences(df: DataFrame, model: LicenceModel, doc_id: str = "doc_id", te
     ``share`` is that of the word pairs of the paragraph or of a statement of its family, whichever
     contains the other; below ``LEAST_SHARE`` the family is null.
     """
-    lines = df.where(F.col(text).rlike("(?i)" + GATE)).select(
+    lines = df.where(F.col(text).rlike("(?i)" + GATE) | may_state(tokens(F.col(text)))).select(
         F.col(doc_id).alias("doc_id"), text_print(F.col(text)).alias("print"), F.posexplode(F.split(text, "\n")).alias("line", "paragraph"))
-    lines = lines.where(F.col("paragraph").rlike("(?i)" + GATE)).withColumn("all", tokens(F.col("paragraph"))).where("size(all) > 0")
+    lines = lines.withColumn("all", tokens(F.col("paragraph"))).where(F.col("paragraph").rlike("(?i)" + GATE) | may_state(F.col("all")))
+    lines = lines.where("size(all) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - STEP - 1, F.lit(0)), F.lit(STEP))
     windows = lines.select("doc_id", "print", "line", "all", F.explode(starts).alias("start")).withColumn(
         "words", F.slice("all", F.col("start") + 1, WINDOW)).drop("all")
-    windows = windows.where(F.array_join("words", " ").rlike(GATE))
+    windows = windows.where(F.array_join("words", " ").rlike(GATE) | may_state(F.col("words")))
     judged = model.predict(windows).where((F.col("family") != OTHER) & (F.col("probability") >= model.least))
     # Bounded by the table of templates above.
     known = F.broadcast(template_rows(df.sparkSession).where(F.col("family") != OTHER).select(

@@ -1,8 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from emberfield.llm.licences import GATE, TEMPLATES, find_licences, fit_licences, licences_of_documents
+from emberfield.llm.licences import (
+    GATE, LEAST_PAIRS, LEAST_SHARE, STATED, TEMPLATES, find_licences, fit_licences, licences_of_documents, may_state, tokens)
 from tests.llm.helpers import AWKWARD, awkward, empty
 
 DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
@@ -17,6 +19,25 @@ def test_every_statement_passes_the_gate():
     assert all(re.search(GATE, t) for ts in TEMPLATES.values() for t in ts)
 
 
+SHORT = {"Released under CC0 1.0.": "CC0", "CC-BY-SA 4.0": "CC-BY-SA", "CC-BY-4.0": "CC-BY", "Published under CC-BY-SA 4.0": "CC-BY-SA",
+         "Released under the MIT.": "MIT", "Licensed under CC-BY-NC-4.0.": "CC-BY-NC", "Released under the BSD": "BSD"}
+
+
+def test_gate_keeps_what_can_be_confirmed(spark):
+    assert min(len(set(zip(w, [*w[1:], ""]))) for w in STATED) * LEAST_SHARE > LEAST_PAIRS
+    # Every run of a statement that has a share of LEAST_SHARE of its own pairs or of the statement's.
+    cut = [" ".join(w[i:i + k]) for w in STATED for k in range(3, len(w) + 1) for i in range(len(w) - k + 1)]
+    df = spark.createDataFrame([(t,) for t in (*SHORT, *cut)], "text string")
+    assert df.where(~may_state(tokens(df.text))).count() == 0
+    # A document of other words only is not held back.
+    assert spark.createDataFrame([("under the rain",), ("", ), ("mit",)], "text string").where(may_state(tokens(F.col("text")))).count() == 0
+
+
+def test_short_forms(spark, model):
+    got = licences_of_documents(spark.createDataFrame(list(enumerate(SHORT)), "doc_id long, text string"), model)
+    assert {list(SHORT)[r.doc_id]: r.families for r in got.collect()} == SHORT
+
+
 def test_families(spark, model):
     texts = {
         "Intro\nReleased under the MIT License.\nmore": "MIT", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.": "Apache-2.0",
