@@ -7,9 +7,11 @@ The least probability for a family is calibrated on versions that were not train
 counts only if the paragraph shares enough word pairs with a statement of that family; what is
 predicted but not confirmed is counted apart, as an unknown licence.
 
-A paragraph is a line, longer ones in overlapping windows. Classified are the paragraphs that the template
-comparison could confirm, which hold at least ``LEAST_PAIRS`` word pairs of the templates, and those with a
-word of ``GATE``, which may state an unknown licence.
+A paragraph ends at a blank line. Looked at are its lines, runs of two and three lines, and overlapping
+windows over all its words whatever the line ends, so that a statement in hard-wrapped text lies whole in
+some of them. Classified are the stretches that the template comparison could confirm, which hold at least
+``LEAST_PAIRS`` word pairs of the templates, and those with a word of ``GATE``, which may state an unknown
+licence. Of stretches that overlap, the one that shares most pairs with a statement counts.
 
 Defined results: a null or empty text has no licence; repeated rows get equal results; an input column
 named like an added one is replaced.
@@ -30,6 +32,8 @@ from emberfield.llm.common import text_print, without
 
 FEATURES = 1 << 12
 WINDOW, STEP = 48, 24
+#: Windows over a paragraph, (words, step): the long ones hold every statement whole, the short ones brief ones.
+ACROSS = ((80, 24), (24, 12))
 #: Ordinary paragraphs that the classifier is trained on.
 OTHER_ROWS = 1500
 LEAST_SHARE = 0.6
@@ -55,7 +59,9 @@ TEMPLATES = {
         "software foundation either version 3 of the license or at your option any later version"],
     "GPL-2.0": [
         "this work is licensed under the gnu general public license version 2", "licensed under the gnu gpl version 2",
-        "released under the gnu general public license v2", "spdx license identifier gpl 2.0"],
+        "released under the gnu general public license v2", "spdx license identifier gpl 2.0",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 2 of the license or at your option any later version"],
     "LGPL": [
         "licensed under the gnu lesser general public license version 3", "released under the lgpl",
         "spdx license identifier lgpl 2.1", "under the terms of the gnu lesser general public license version 2.1"],
@@ -181,34 +187,72 @@ def fit_licences(df: DataFrame, text: str = "text") -> LicenceModel:
     return LicenceModel(model, families, least)
 
 
+def _stretches(bounds: Column, total: Column) -> Column:
+    """(at, size) of lines, of runs of lines and of windows over a paragraph whose lines start at ``bounds``."""
+    def stretch(at: Column, size: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), size.cast("int").alias("size"))
+
+    def windows(begin: Column, size: Column, width: int, step: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(size - (width - step) - 1, F.lit(0)), F.lit(step))
+        return F.transform(starts, lambda j: stretch(begin + j, F.least(F.lit(width), size - j)))
+
+    def runs(k: int) -> Column:
+        return F.filter(F.transform(bounds, lambda b, i: stretch(b, F.get(bounds, i + k) - b)), lambda r: r["size"].isNotNull())
+
+    lines = F.flatten(F.transform(runs(1), lambda r: windows(r["at"], r["size"], WINDOW, STEP)))
+    several = [F.filter(runs(k), lambda r: r["size"] <= WINDOW) for k in (2, 3)]
+    across = [F.when((F.size(bounds) > 2) | (total > WINDOW), windows(F.lit(0), total, *w)).otherwise(F.array().cast("array<struct<at:int,size:int>>"))
+              for w in ACROSS]
+    return F.array_distinct(F.concat(lines, *several, *across))
+
+
 def find_licences(df: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, print, family, probability, share, paragraph) of every paragraph that states a licence.
+    """(doc_id, print, paragraph, start, family, probability, share) of every place that states a licence.
 
-    ``share`` is that of the word pairs of the paragraph or of a statement of its family, whichever
-    contains the other; below ``LEAST_SHARE`` the family is null.
+    ``share`` is that of the word pairs of the stretch or of a statement of its family, whichever
+    contains the other; below ``LEAST_SHARE`` the family is null. Places of a paragraph do not overlap.
     """
-    lines = df.where(F.col(text).rlike("(?i)" + GATE) | may_state(tokens(F.col(text)))).select(
-        F.col(doc_id).alias("doc_id"), text_print(F.col(text)).alias("print"), F.posexplode(F.split(text, "\n")).alias("line", "paragraph"))
-    lines = lines.withColumn("all", tokens(F.col("paragraph"))).where(F.col("paragraph").rlike("(?i)" + GATE) | may_state(F.col("all")))
-    lines = lines.where("size(all) > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - STEP - 1, F.lit(0)), F.lit(STEP))
-    windows = lines.select("doc_id", "print", "line", "all", F.explode(starts).alias("start")).withColumn(
-        "words", F.slice("all", F.col("start") + 1, WINDOW)).drop("all")
-    windows = windows.where(F.array_join("words", " ").rlike(GATE) | may_state(F.col("words")))
-    judged = model.predict(windows).where((F.col("family") != OTHER) & (F.col("probability") >= model.least))
+    def gate(words: Column) -> Column:
+        return may_state(words) | F.array_join(words, " ").rlike(GATE)
+
+    docs = df.where(gate(tokens(F.col(text)))).select(
+        F.col(doc_id).alias("doc_id"), text_print(F.col(text)).alias("print"), F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph", "t"))
+    marked = docs.select("doc_id", "print", "paragraph", F.regexp_extract_all(F.lower("t"), F.lit(TOKEN + r"|\n"), F.lit(0)).alias("marked"))
+    whole = marked.select("doc_id", "print", "paragraph", F.filter("marked", lambda t: t != "\n").alias("all"), F.array_compact(
+        F.transform("marked", lambda t, i: F.when(t == "\n", i))).alias("ends")).where(F.size("all") > 0).where(gate(F.col("all")))
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("ends", lambda p, k: p - k), F.array(F.size("all"))))
+    cut = whole.withColumn("bounds", bounds).withColumn("s", F.explode(_stretches(F.col("bounds"), F.size("all"))))
+    cut = cut.select("doc_id", "print", "paragraph", F.col("s.at").alias("at"), F.slice("all", F.col("s.at") + 1, F.col("s.size")).alias("words"))
+    judged = model.predict(cut.where(gate(F.col("words")))).where((F.col("family") != OTHER) & (F.col("probability") >= model.least))
     # Bounded by the table of templates above.
     known = F.broadcast(template_rows(df.sparkSession).where(F.col("family") != OTHER).select(
         F.col("family").alias("f"), pairs(F.col("words")).alias("stated")))
     own = judged.withColumn("own", pairs(F.col("words")))
-    shared = F.size(F.array_intersect("own", "stated"))
-    compared = own.join(known, own.family == known.f).withColumn(
+    compared = own.join(known, own.family == known.f).withColumn("both", F.array_intersect("own", "stated"))
+    shared = F.size("both")
+    compared = compared.withColumn(
         "share", F.greatest(shared / F.size("stated"), F.when(F.size("own") >= 4, shared / F.size("own")).otherwise(0.0)))
-    best = compared.groupBy("doc_id", "print", "line", "start", "family", "probability").agg(F.max("share").alias("share"))
-    return best.select("doc_id", "print", "line", "start", F.when(F.col("share") >= LEAST_SHARE, F.col("family")).alias("family"), "probability", "share")
+    # Where the shared pairs first occur, in words of the paragraph.
+    neighbours = F.zip_with("words", F.slice("words", 2, 100_000), lambda a, b: F.concat_ws(" ", a, b))
+    places = F.transform("both", lambda x: F.array_position(neighbours, x))
+    end = F.least(F.array_max(places) + 1, F.size("words"))
+    confirmed = F.col("share") >= LEAST_SHARE
+    compared = compared.withColumn("low", F.when(confirmed, F.col("at") + F.array_min(places) - 1).otherwise(F.col("at"))).withColumn(
+        "high", F.when(confirmed, F.col("at") + end).otherwise(F.col("at") + F.size("words")))
+    one = F.struct(confirmed.alias("confirmed"), shared.alias("shared"), (F.col("low") - F.col("high")).alias("tight"), "share", "probability",
+                   "low", "high", "family")
+    best = compared.groupBy("doc_id", "print", "paragraph", "at", F.size("words").alias("size")).agg(F.max(one).alias("one"))
+    # The stretches of one paragraph, most shared pairs first; each one counts that overlaps none before it.
+    found = best.groupBy("doc_id", "print", "paragraph").agg(F.sort_array(F.collect_set("one"), asc=False).alias("found"))
+    kept = F.aggregate("found", F.slice("found", 1, 0), lambda kept, x: F.when(
+        F.exists(kept, lambda y: (x["low"] < y["high"]) & (y["low"] < x["high"])), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = found.select("doc_id", "print", "paragraph", F.explode(kept).alias("x"))
+    return rows.select("doc_id", "print", "paragraph", F.col("x.low").alias("start"), F.when(F.col("x.confirmed"), F.col("x.family")).alias("family"),
+                       "x.probability", "x.share")
 
 
 def licences_of_documents(df: DataFrame, model: LicenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with the confirmed ``families`` and counts of paragraphs."""
+    """``df`` without ``text``, with the confirmed ``families`` and counts of places."""
     found = find_licences(df, model, doc_id, text).groupBy("doc_id", "print").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("family").alias("n_licences"),
         F.round(F.max(F.when(F.col("family").isNotNull(), F.col("probability"))), 4).alias("confidence"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.llm.licences import (
-    GATE, LEAST_PAIRS, LEAST_SHARE, STATED, TEMPLATES, find_licences, fit_licences, licences_of_documents, may_state, tokens)
+    ACROSS, GATE, LEAST_PAIRS, LEAST_SHARE, STATED, TEMPLATES, find_licences, fit_licences, licences_of_documents, may_state, tokens)
 from tests.llm.helpers import AWKWARD, awkward, empty
 
 DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
@@ -38,6 +38,25 @@ def test_short_forms(spark, model):
     assert {list(SHORT)[r.doc_id]: r.families for r in got.collect()} == SHORT
 
 
+GPL = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+       "the Free Software Foundation; either version {} of the License, or\n(at your option) any later version.")
+WRAPPED = {
+    "Licensed under the\nMIT License.": "MIT", "Licensed under\nthe MIT\nLicense.": "MIT", "a\n\nb\n\nLicensed under the\r\nMIT License.\n\nc": "MIT",
+    GPL.format(3): "GPL-3.0", GPL.format(2): "GPL-2.0", "Released under the GNU General Public License\nv2": "GPL-2.0",
+    "This work is licensed under the GNU General Public License, version 3.\nLicensed under the\nMIT License.": "GPL-3.0,MIT",
+    "The rain fell\non the old town. " * 40 + "\n" + GPL.format(3) + "\n" + "The rain fell\non the old town. " * 40: "GPL-3.0",
+    "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the "
+    '"Software"), to deal in the Software without\nrestriction, including without limitation the rights to use,\ncopy, modify, merge, publish, '
+    "distribute, sublicense, and/or\nsell copies of the Software": "MIT"}
+
+
+def test_wrapped_statements(spark, model):
+    assert max(map(len, STATED)) <= max(width - step for width, step in ACROSS)
+    df = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")
+    got = {list(WRAPPED)[r.doc_id]: (r.families, r.n_licences) for r in licences_of_documents(df, model).collect()}
+    assert got == {t: (f, f.count(",") + 1) for t, f in WRAPPED.items()}
+
+
 def test_families(spark, model):
     texts = {
         "Intro\nReleased under the MIT License.\nmore": "MIT", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.": "Apache-2.0",
