@@ -12,6 +12,9 @@ from emberfield.sources.landed import (
     read_incident_pages, read_keyed_csv, read_loose_csv, read_parcel_pages, read_polygons, read_table)
 from emberfield.sources.sinks import hash_sample, sample_rows, write_csv, write_statistics, write_table
 
+#: Keys that share one array of a written census file.
+ARRAY_KEYS = 5000
+
 
 @check("census_array_json", """
 SELECT '06' || '075' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS geoid,
@@ -177,24 +180,24 @@ def census_files(t: Tables):
     def write(rows, code: str, value, name: str) -> str:
         head = F.array(*[F.lit(x) for x in ("NAME", code, "state", "county", "tract")])
         row = F.array(F.lit("Tract"), value.cast("string"), F.lit("06"), F.lit("075"), key)
-        # A census file is one JSON array with the header first; a county has few tracts.
-        table = rows.agg(F.concat(F.array(F.first(head)), F.collect_list(row)).alias("table"))
+        # One JSON array with the header first per line, of the tracts of a bounded range of keys.
+        table = rows.groupBy(F.floor(F.col("c_custkey") / ARRAY_KEYS)).agg(F.concat(F.array(F.first(head)), F.collect_list(row)).alias("table"))
         table.select(F.to_json("table").alias("value")).write.text(f"{path}/{name}")
         return f"{path}/{name}"
 
     files = [write(t.customer, "B01003_001E", F.col("c_nationkey"), "population"),
              write(t.customer.where("c_custkey % 2 = 0"), "B19013_001E", F.col("c_custkey"), "income")]
-    return read_census(t.spark, files).select("geoid", "total_population", "median_household_income")
+    return read_census(t.spark, files, lines=True).select("geoid", "total_population", "median_household_income")
 
 
 @check("source_lookup", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS DOUBLE) END AS ems_units FROM orders
 """)
 def source_lookup(t: Tables):
-    """A folder without the parquet table: the CSV file in it is found and typed."""
+    """A folder without the parquet table: the CSV table in it is found, in all its parts, and typed."""
     path = scratch_path(t.spark, "lookup")
     write_csv(t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.when(
-        F.col("o_orderstatus") == "P", "N/A").otherwise(F.col("o_custkey").cast("string")).alias("ems_units")).repartition(1), path)
+        F.col("o_orderstatus") == "P", "N/A").otherwise(F.col("o_custkey").cast("string")).alias("ems_units")), path)
     return find_source(t.spark, path)
 
 

@@ -6,6 +6,7 @@ Readers ask for explicit schemas, so no pass is spent on inference.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -88,15 +89,18 @@ def census_measures(df: DataFrame) -> DataFrame:
     return with_absent_columns(typed, K.CENSUS_COLUMNS, "double").select("geoid", *K.CENSUS_COLUMNS)
 
 
-def read_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_census(spark: SparkSession, paths: Sequence[str], lines: bool = False) -> DataFrame:
     """Tract table of one year from one file, or from several that hold one group of codes each.
 
+    A file is one array, or with ``lines`` one array per line, each with the same header; files of
+    lines are split, so large landings should use lines.
+
     Groups are merged on the tract with a full outer join, so a tract missing in one group stays.
     Which codes a file has is read from its header row.
     """
     parts = []
     for path in paths:
-        cells = explode_census_array(spark.read.text(path, wholetext=True), "value")
+        cells = explode_census_array(spark.read.text(path, wholetext=not lines), "value")
         head = cells.select("header").first()
         codes = [c for c in K.CENSUS_MEASURES if head and c in head["header"]]
         if codes:
@@ -169,7 +173,10 @@ def read_loose_csv(spark: SparkSession, path: str, numbers: Sequence[str] = (),
 
 
 def find_source(spark: SparkSession, folder: str, name: str = "fire_incidents.parquet") -> DataFrame:
-    """The parquet table in a folder if it exists, else the first CSV file by name."""
+    """The parquet table in a folder if it exists, else the first CSV file by name.
+
+    A CSV table that Spark wrote in parts counts as one file.
+    """
     try:
         return spark.read.parquet(f"{folder}/{name}")
     except AnalysisException:
@@ -181,7 +188,8 @@ def find_source(spark: SparkSession, folder: str, name: str = "fire_incidents.pa
         first = None
     if first is None:
         raise FileNotFoundError(f"no parquet table {name} and no CSV file in {folder}")
-    return read_loose_csv(spark, first["path"], K.PROFILE_NUMBERS)
+    parts = re.sub(r"/part-\d+-([0-9a-f-]{36})[^/]*\Z", r"/part-*-\1*.csv", first["path"])
+    return read_loose_csv(spark, parts, K.PROFILE_NUMBERS)
 
 
 def file_sizes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

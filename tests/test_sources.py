@@ -127,6 +127,30 @@ def test_loose_csv(spark, put, rows):
         ("1", None, 2.0), ("2", "SF", None), ("3", None, None), ("4", None, 1.5)]
 
 
+def test_census_arrays_by_line(spark, put):
+    tables = [census(["B01003_001E"], ["1", "10"]), census(["B01003_001E"], ["2", "20"], ["3", "30"])]
+    got = L.read_census(spark, [put("acs.json", "\n".join(map(json.dumps, tables)))], lines=True)
+    assert sorted(r["total_population"] for r in got.collect()) == [10.0, 20.0, 30.0]
+
+
+def test_census_arrays_do_not_grow_with_the_table(spark, monkeypatch):
+    from checks import landed
+    from checks.registry import Tables
+
+    monkeypatch.setattr(landed, "ARRAY_KEYS", 100, raising=False)
+    t = Tables(spark, "/root/testdata/sf0.01")
+    got = landed.census_files(t)
+    assert got.count() == got.distinct().count() == t.customer.count()
+    sizes = [len(json.loads(r["value"])) for r in spark.read.text(got.inputFiles()).collect()]
+    assert len(sizes) > 2 and max(sizes) <= 101
+
+
+def test_find_source_reads_all_parts(spark, tmp_path):
+    spark.range(40).selectExpr("cast(id as string) AS id", "id AS ems_units").repartition(4).write.csv(str(tmp_path / "parts"), header=True)
+    got = L.find_source(spark, str(tmp_path / "parts"))
+    assert sorted(r["ems_units"] for r in got.collect()) == [float(i) for i in range(40)]
+
+
 def test_find_source_prefers_parquet(spark, put, tmp_path):
     with pytest.raises(FileNotFoundError):
         L.find_source(spark, str(tmp_path))
