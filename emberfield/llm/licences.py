@@ -159,12 +159,20 @@ def template_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, text string").select("family", tokens(F.col("text")).alias("words")).coalesce(1)
 
 
+def ordinary_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """(line): at most ``OTHER_ROWS`` distinct lines without a word of the gate, those with the smallest hashes."""
+    lines = df.select(F.explode(F.split(text, "\n")).alias("line")).where("length(line) > 20").where(~F.col("line").rlike("(?i)" + GATE))
+    order = F.xxhash64("line")
+    # Only hashes move to find the bound; the lines below it are few.
+    bound = lines.select(order.alias("h")).distinct().orderBy("h").limit(OTHER_ROWS).agg(F.max("h")).first()[0]
+    return lines.where(order <= F.lit(bound).cast("long")).distinct().orderBy(order, "line").limit(OTHER_ROWS)
+
+
 def fit_licences(df: DataFrame, text: str = "text") -> LicenceModel:
     """Train on the templates and on at most ``OTHER_ROWS`` paragraphs of ``df`` without a word of the gate."""
     spark = df.sparkSession
     stated = template_rows(spark)
-    lines = df.select(F.explode(F.split(text, "\n")).alias("line")).where(~F.col("line").rlike("(?i)" + GATE)).where("length(line) > 20")
-    plain = lines.limit(OTHER_ROWS).select(F.lit(OTHER).alias("family"), F.slice(tokens(F.col("line")), 1, WINDOW).alias("words"))
+    plain = ordinary_lines(df, text).select(F.lit(OTHER).alias("family"), F.slice(tokens(F.col("line")), 1, WINDOW).alias("words"))
     plain = plain.where(~may_state(F.col("words")))
     families = [*TEMPLATES, OTHER]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberfield.llm.licences import (
-    ACROSS, GATE, LEAST_PAIRS, LEAST_SHARE, STATED, TEMPLATES, find_licences, fit_licences, licences_of_documents, may_state, tokens)
+    ACROSS, GATE, LEAST_PAIRS, LEAST_SHARE, OTHER_ROWS, STATED, TEMPLATES, find_licences, fit_licences, licences_of_documents, may_state,
+    ordinary_lines, tokens)
 from tests.llm.helpers import AWKWARD, awkward, empty
 
 DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
@@ -33,6 +34,16 @@ def test_gate_keeps_what_can_be_confirmed(spark):
     assert spark.createDataFrame([("under the rain",), ("", ), ("mit",)], "text string").where(may_state(tokens(F.col("text")))).count() == 0
 
 
+def test_ordinary_lines_span_all_documents(spark):
+    long = "\n".join(f"line number {i} of the one long document" for i in range(3 * OTHER_ROWS))
+    texts = [(long,), *[("the same line again and again",)] * 50, *[(f"a short document with number {i}",) for i in range(3 * OTHER_ROWS)]]
+    got = [[r.line for r in ordinary_lines(spark.createDataFrame(some, "text string").repartition(n)).collect()]
+           for some, n in ((texts, 1), (texts[::-1], 5))]
+    assert got[0] == got[1] and len(set(got[0])) == OTHER_ROWS
+    assert OTHER_ROWS // 3 < sum(x.startswith("line") for x in got[0]) < 2 * OTHER_ROWS // 3
+    assert ordinary_lines(spark.createDataFrame([(None,), ("",)], "text string")).count() == 0
+
+
 def test_short_forms(spark, model):
     got = licences_of_documents(spark.createDataFrame(list(enumerate(SHORT)), "doc_id long, text string"), model)
     assert {list(SHORT)[r.doc_id]: r.families for r in got.collect()} == SHORT
