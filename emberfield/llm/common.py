@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +24,9 @@ def per_row(df: DataFrame, columns: list[str], added: T.StructType,
             function: Callable[[Iterator[tuple]], Iterable[tuple]], keep: list[str] | None = None) -> DataFrame:
     """Add columns that ``function`` derives from ``columns``, one output tuple per input tuple.
 
-    Rows stay in their partition and move as Arrow batches; ``function`` sees one batch at a time as
-    an iterator of tuples, so memory is bounded by a batch. ``keep`` names the input columns of the
-    result (all by default); only needed columns are sent to Python.
+    Rows stay in their partition and move as Arrow batches; ``function`` sees a slice of bounded bytes
+    at a time as an iterator of tuples. ``keep`` names the input columns of the result (all by default);
+    only needed columns are sent to Python.
     """
     keep = df.columns if keep is None else keep
     sent = df.select(*dict.fromkeys([*keep, *columns]))
@@ -32,15 +34,32 @@ def per_row(df: DataFrame, columns: list[str], added: T.StructType,
     names, kinds = added.names, to_arrow(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(function(zip(*(batch.column(c).to_pylist() for c in columns))))
-            made = list(zip(*rows)) if rows else [[] for _ in names]
-            arrays = [batch.column(c) for c in keep] + [pa.array(v, kind) for v, kind in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+        for whole in batches:
+            for batch in bounded_slices(whole, columns):
+                rows = list(function(zip(*(batch.column(c).to_pylist() for c in columns))))
+                made = list(zip(*rows)) if rows else [[] for _ in names]
+                arrays = [batch.column(c) for c in keep] + [pa.array(v, kind) for v, kind in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
     return sent.mapInArrow(run, schema)
 
 
+#: Bytes of the text columns of a slice; a longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def bounded_slices(batch: pa.RecordBatch, columns: list[str], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, of about ``most`` bytes in the string columns among ``columns``."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        if pa.types.is_string(batch.schema.field(c).type):
+            size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 _ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(),
           T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_()}
 

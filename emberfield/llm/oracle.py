@@ -120,3 +120,96 @@ reach AS (
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
 """
+
+OP11 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    {WORDS}) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+    FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS (SELECT doc_id, s, n FROM shingles JOIN sizes USING (doc_id)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS shared FROM sized a JOIN sized b
+  ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (total - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+named AS (
+  SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+  FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id))
+SELECT *, doc_id = component_id AS kept FROM named
+"""
+
+
+def _crc32(number: str) -> str:
+    """Unsigned checksum of a number written in decimal, bit by bit."""
+    shifted = "list_reduce(list_prepend(xor(r, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda r, b: {shifted}))"
+
+
+OP12 = rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text)
+                       ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS t FROM turns GROUP BY conv_id),
+h AS (SELECT conv_id, t, CAST({_crc32('conv_id')} % 4 AS BIGINT) AS h FROM own),
+rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(base.t[1:h], []), h.t[h + 1:]) AS t
+  FROM h LEFT JOIN own AS base ON base.conv_id = h.conv_id - h.conv_id % 20),
+firsts AS (SELECT conv_id, t[1:d] AS prefix, d, d = len(t) AS ends FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS listed
+  FROM firsts GROUP BY prefix, d),
+child AS (
+  SELECT c.*, p.conv_id AS parent, (c.n - 1) * (CASE WHEN c.d = 0 THEN 0 ELSE len(regexp_extract_all(c.prefix[c.d].text, {WORDS})) END) AS saved
+  FROM node c LEFT JOIN node p ON p.d = c.d - 1 AND p.prefix = c.prefix[1:c.d - 1]),
+children AS (SELECT prefix[1:d - 1] AS prefix, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT child.*, coalesce(n_children, 0) AS n_children FROM child LEFT JOIN children USING (prefix, d)),
+subtree AS (
+  SELECT prefix[1:up] AS prefix, up AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM counted) GROUP BY ALL)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(listed) AS ends_sha256
+FROM counted JOIN subtree USING (prefix, d)
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w, {_crc32('doc_id')} AS h FROM documents),
+numbers AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+placed AS (
+  SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM numbers),
+planted AS (
+  SELECT *, CASE WHEN n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM placed),
+texts AS (
+  SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+         ELSE w END AS w FROM planted),
+words AS (SELECT row, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+agree AS (
+  SELECT x.row, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.row = y.row AND x.word = y.word AND y.i > x.i
+  WHERE 3 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT row, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM agree)
+  GROUP BY row, q, island HAVING count(*) + q >= 24 AND count(*) >= 2 * q),
+runs AS (
+  SELECT row, s, len, q FROM stretches x WHERE NOT EXISTS (
+    SELECT 1 FROM stretches y WHERE y.row = x.row AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+         list(struct_pack(s := s, len := len, q := q)) AS all_runs FROM runs GROUP BY row),
+ranked AS (
+  SELECT row, s, len, q, (1000 * len) // q AS milli,
+         row_number() OVER (PARTITION BY row ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) AS place FROM runs),
+collapsed AS (
+  SELECT words.row, string_agg(word, ' ' ORDER BY i) AS body FROM words LEFT JOIN listed USING (row)
+  WHERE all_runs IS NULL OR len(list_filter(all_runs, lambda r: i >= r.s + r.q AND i < r.s + r.len)) = 0 GROUP BY words.row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, milli AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (row) LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (row) LEFT JOIN collapsed USING (row)
+"""

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfield.llm import bpe, exact_dedup, html_blocks, licences, mixing, oracle, parity_join, pii, quality_knn, quality_rules, toxicity
+from emberfield.llm import (
+    bpe, conversation_trie, exact_dedup, html_blocks, licences, minhash_join, mixing, oracle, parity_join, periodic_runs, pii,
+    quality_knn, quality_rules, toxicity)
 from emberfield.llm.labelled import fold, labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,5 +136,28 @@ def op10_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences_of_documents(docs, licences.fit_licences(docs))
 
 
+@query
+def op11_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets have a similarity of at least 0.8."""
+    found = minhash_join.near_components(read(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of the conversations, rebuilt with shared first turns."""
+    turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_trie(conversation_trie.sequences(turns, shared=4, family=20))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every text, after repetitions were planted into some."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    planted = docs.withColumn("text", periodic_runs.plant_repetition(F.col("doc_id"), F.col("text")))
+    return periodic_runs.find_runs(planted, texts=False, keep=["doc_id"])
+
+
+ORACLE |= {"op11_coordinate_join": oracle.OP11, "op12_conversation_trie": oracle.OP12, "op13_periodic_runs": oracle.OP13}
 ORACLE |= {"op1_chunk_recipes": oracle.OP1, "op2_parity_sketch_join": oracle.OP2,
            "op4_rule_cascade": oracle.OP4, "op8_personal_data": oracle.OP8}
