@@ -18,8 +18,10 @@ its members with one of them, the centre; what links becomes one component, and
 lie in one component are done. Centres are chosen by a hash that does not depend on the list, so the
 lists of one group of copies choose the same few. After ``TURNS`` turns the lists that still hold several
 components compare members of different components. Members of one component are never compared again,
-which loses no link between components. Candidates are grouped by their centre for the confirmation:
-its text is sent once for every ``GROUP`` partners, and a task holds the sets of two documents.
+which loses no link between components. Only pairs above the match threshold leave a join, and of those
+only the ones whose shingle parities, a lower bound of the symmetric difference, allow a link. Candidates
+are grouped by their centre for the confirmation: its text is sent once for every ``GROUP`` partners, and
+a task holds the sets of two documents.
 
 Defined results: a document without words, or with null text, is linked with nothing; a text with fewer
 words than a shingle is one shingle; a very long text is one set like any other; rows repeated with one
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 
 from emberfield.llm.common import drop_unkept, per_row, text_print
 from emberfield.llm.components import components
-from emberfield.llm.parity_join import Similarity, shingle_hashes, shingle_set
+from emberfield.llm.parity_join import SKETCH_WORDS, Similarity, bit_sketch, shingle_hashes, shingle_set
 from emberfield.session import discard, materialize
 
 PAIRS_OF_WORDS = Similarity(width=2, share=80, whole=100)
@@ -48,7 +50,7 @@ PAIRS_OF_WORDS = Similarity(width=2, share=80, whole=100)
 COORDINATES = 64
 LEAST_MATCHES = 24
 #: Turns with one centre for each list before members of different components are compared.
-TURNS = 3
+TURNS = 2
 #: Candidates that one copy of a centre's text serves.
 GROUP = 1024
 #: Shingles whose values are computed at once.
@@ -84,7 +86,8 @@ def signature_bytes(keys: np.ndarray) -> np.ndarray:
 
 _ADDED = T.StructType([
     T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
-    T.StructField("bytes", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    T.StructField("bytes", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
+    T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
@@ -92,12 +95,12 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
         for (text,) in values:
             hashes = shingle_hashes(text, like.width)
             if not len(hashes):
-                yield 0, b"", None, None
+                yield 0, b"", None, None, None
                 continue
             keys = signature(hashes)
             # 128 bits of the set, whatever the order of its shingles.
             set_key = hashes.sum().tobytes() + np.bitwise_xor.reduce(_scrambled(hashes)).tobytes()
-            yield len(hashes), set_key, signature_bytes(keys), keys.view(np.int64)
+            yield len(hashes), set_key, signature_bytes(keys), bit_sketch(hashes), keys.view(np.int64)
 
     return per_row(docs, ["text"], _ADDED, run, keep=["doc_id", "print"])
 
@@ -114,43 +117,46 @@ def _collisions(a: Column, b: Column) -> Column:
 
 
 def _may_link(a: Column, b: Column, like: Similarity, least_matches: int) -> Column:
+    """Sizes within the ratio, enough collisions, and differing parities within the bound of the sizes."""
+    differing = sum((F.bit_count(a[f"p{i}"].bitwiseXOR(b[f"p{i}"])) for i in range(SKETCH_WORDS)), F.lit(0))
     return ((a["n"] * like.whole >= like.share * b["n"]) & (b["n"] * like.whole >= like.share * a["n"])
-            & (_collisions(a, b) >= least_matches))
+            & (_collisions(a, b) >= least_matches)
+            & (differing * (like.whole + like.share) <= (a["n"] + b["n"]) * (like.whole - like.share)))
 
 
-def _members(nodes: DataFrame, least_matches: int) -> DataFrame:
-    """(key, doc) of the lists that a document doesn't skip and that hold several documents."""
+def _posted(nodes: DataFrame, least_matches: int) -> DataFrame:
+    """(key, row) of the lists that a document doesn't skip and that hold several documents."""
     lists = materialize(nodes.select("row", F.explode("keys").alias("key")), "lists")
     lengths = materialize(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "list_lengths")
     longest = Window.partitionBy("row").orderBy(F.desc("n"), "key")
     kept = materialize(lists.join(lengths, "key").withColumn("place", F.row_number().over(longest))
                        .where(F.col("place") >= least_matches).select("key", "row"), "kept_lists")
     discard(lists, lengths)
-    doc = F.struct("row", F.col("n_shingles").alias("n"),
-                   *[F.get("bytes", F.lit(i)).alias(f"s{i}") for i in range(_BYTES)]).alias("doc")
-    # The merge hint keeps the plan alike at every size.
-    members = materialize(kept.hint("merge").join(nodes.select("row", doc), "row").select("key", "row", "doc"), "members")
-    discard(kept)
-    return members
+    return kept
 
 
-def _centre_pairs(members: DataFrame, like: Similarity, least_matches: int, turn: int) -> DataFrame:
-    """(a, b, retained): each list's centre a with its members b of other components, above the match threshold."""
+def _centre_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_matches: int, turn: int) -> DataFrame:
+    """(a, b): each list's centre a with its members b of other components, if they may link."""
     order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("row"), "row")
     # Written, so that a list with many members can be split in the join.
-    centres = materialize(members.groupBy("key").agg(F.min_by(F.struct("doc", "component"), order).alias("centre")), "centres")
-    met = members.join(centres, "key").where(
-        (F.col("component") != F.col("centre.component")) & _may_link(F.col("doc"), F.col("centre.doc"), like, least_matches))
-    return met.select(F.col("centre.doc.row").alias("a"), F.col("row").alias("b")).distinct()
-
-
-def _open_pairs(members: DataFrame, like: Similarity, least_matches: int) -> DataFrame:
-    """(a, b) with a < b: members of one list in different components, above the match threshold."""
-    other = members.select("key", F.col("doc").alias("other"), F.col("component").alias("c"))
-    met = members.join(other, "key").where(
-        (F.col("row") < F.col("other.row")) & (F.col("component") != F.col("c"))
+    centres = materialize(members.groupBy("key").agg(F.min_by(F.struct("row", "component"), order).alias("centre")), "centres")
+    # The lists of a group of copies name the same pairs, so pairs are merged before sketches join them.
+    met = materialize(members.join(centres, "key").where(F.col("component") != F.col("centre.component")).select(
+        F.col("centre.row").alias("a"), F.col("row").alias("b")).distinct(), "met")
+    left = docs.select(F.col("row").alias("a"), F.col("doc").alias("x"))
+    right = docs.select(F.col("row").alias("b"), F.col("doc").alias("y"))
+    joined = met.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    return joined.where(_may_link(F.col("x"), F.col("y"), like, least_matches)).select("a", "b")
+
+
+def _open_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_matches: int) -> DataFrame:
+    """(a, b) with a < b: members of one list in different components, if they may link."""
+    left = materialize(members.hint("merge").join(docs, "row"), "open_members")
+    right = left.select("key", F.col("doc").alias("other"), F.col("row").alias("r"), F.col("component").alias("c"))
+    met = left.hint("merge").join(right, "key").where(
+        (F.col("row") < F.col("r")) & (F.col("component") != F.col("c"))
         & _may_link(F.col("doc"), F.col("other"), like, least_matches))
-    return met.select(F.col("row").alias("a"), F.col("other.row").alias("b")).distinct()
+    return met.select(F.col("row").alias("a"), F.col("r").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
@@ -196,9 +202,14 @@ def near_components(df: DataFrame, like: Similarity = PAIRS_OF_WORDS, doc_id: st
         F.min("row").alias("node"), F.min("doc_id").alias("least_id"),
         F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row")), "classes")
     nodes = materialize(signed.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi"), "nodes")
-    members = _members(nodes, least_matches)
-    named = nodes.join(members.select("row").distinct().hint("merge"), "row", "left_semi").select(
-        "row", F.col("doc_id").alias("i"), F.col("print").alias("p")).hint("merge")
+    members = _posted(nodes, least_matches)
+    posted = materialize(nodes.join(members.select("row").distinct().hint("merge"), "row", "left_semi").select(
+        "row", "doc_id", "print", F.struct(
+            F.col("n_shingles").alias("n"), *[F.get("bytes", F.lit(i)).alias(f"s{i}") for i in range(_BYTES)],
+            *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(SKETCH_WORDS)]).alias("doc")), "posted")
+    discard(nodes)
+    sketches = posted.select("row", "doc")
+    named = posted.select("row", F.col("doc_id").alias("i"), F.col("print").alias("p")).hint("merge")
     texts = materialize(docs.join(named, docs.doc_id.eqNullSafe(named.i) & (docs.print == named.p))
                         .select("row", "text").dropDuplicates(["row"]), "texts")
 
@@ -212,12 +223,12 @@ def near_components(df: DataFrame, like: Similarity = PAIRS_OF_WORDS, doc_id: st
                 "component", F.coalesce("component", "row")), "placed")
             several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
             placed = materialize(now.join(several.select("key"), "key"), "open_lists")
-            discard(now)
-            members = placed.select("key", "row", "doc")
+            discard(now, members)
+            members = placed.select("key", "row")
         if turn < TURNS:
-            pairs = _centre_pairs(placed, like, least_matches, turn)
+            pairs = _centre_pairs(placed, sketches, like, least_matches, turn)
         else:
-            pairs = _open_pairs(placed, like, least_matches)
+            pairs = _open_pairs(placed, sketches, like, least_matches)
         found = materialize(_confirmed(materialize(pairs, "retained"), texts, like), "confirmed")
         if links is None:
             links = found
