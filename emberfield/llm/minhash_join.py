@@ -1,27 +1,27 @@
 """Near-duplicate join of shingle sets over an inverted index of signature coordinates.
 
-Every set has a MinHash signature of ``COORDINATES`` values and is posted under each (coordinate, value)
-pair. Two sets of similarity s collide in each coordinate with probability s, so linked sets collide in
-far more than ``least_matches`` of them: with 64 coordinates, 24 needed and a similarity of 0.8 a linked
-pair falls below with probability 1e-12. Pairs above that match threshold are retained and then
-confirmed on their full sets of shingles.
+Every set has a signature of ``COORDINATES`` values, each the pair of the set's least hashes under two hash
+functions, and is posted under each (coordinate, value) pair. Two sets of similarity s collide in each
+coordinate with probability s squared, so linked sets collide in far more than ``least_matches`` of them:
+with 64 coordinates, 12 needed and a similarity of 0.8 a linked pair falls below with probability 1e-12.
+Pairs of hashes keep the lists of frequent shingles short, which would else grow with the corpus. Pairs of
+documents above the match threshold are retained and then confirmed on their full sets of shingles.
 
 The merge of the posting lists is a prefix and skip merge. All documents order their lists by length, the
 rarest first. The ``least_matches - 1`` longest lists of a document are skipped: a pair that collides
 ``least_matches`` times also collides in a list that neither of the two skips, namely the rarest it
 shares. Skipped lists are not lost for the count: collisions are counted over all coordinates, on one byte
-of each value, by bit operations inside the join condition. Equal bytes of different values can only raise
-the count. Documents whose lists are all their own post nothing.
-
-Lists are not expanded into all pairs. Sets that are equal are one node. In each turn every list compares
-its members with one of them, the centre; what links becomes one component, and lists whose members all
-lie in one component are done. Centres are chosen by a hash that does not depend on the list, so the
-lists of one group of copies choose the same few. After ``TURNS`` turns the lists that still hold several
-components compare members of different components. Members of one component are never compared again,
-which loses no link between components. Only pairs above the match threshold leave a join, and of those
-only the ones whose shingle parities, a lower bound of the symmetric difference, allow a link. Candidates
-are grouped by their centre for the confirmation: its text is sent once for every ``GROUP`` partners, and
-a task holds the sets of two documents.
+of each value, by bit operations. Equal bytes of different values can only raise the count. Documents whose
+lists are all their own post nothing.
+
+Lists are not expanded into all pairs. Sets that are equal are one node. First every list compares its
+members with ``CENTRES`` of them. Centres are chosen by hashes that do not depend on the list, so the lists
+of one group of copies choose the same few, and what links becomes one component. Lists whose members all
+lie in one component are done; in the others members of different components are compared. Members of one
+component are not compared again, which loses no link between components. Only pairs above the match
+threshold leave a join, and of those only the ones whose shingle parities, a lower bound of the symmetric
+difference, allow a link. Candidates are grouped by their centre for the confirmation: its text is sent
+once for every ``GROUP`` partners, and a task holds the sets of two documents.
 
 Defined results: a document without words, or with null text, is linked with nothing; a text with fewer
 words than a shingle is one shingle; a very long text is one set like any other; rows repeated with one
@@ -48,9 +48,9 @@ from emberfield.session import discard, materialize
 PAIRS_OF_WORDS = Similarity(width=2, share=80, whole=100)
 #: A multiple of 8: one byte of each value goes into 64-bit words.
 COORDINATES = 64
-LEAST_MATCHES = 24
-#: Turns with one centre for each list before members of different components are compared.
-TURNS = 2
+LEAST_MATCHES = 12
+#: Members of each list that all others are compared with first.
+CENTRES = 4
 #: Candidates that one copy of a centre's text serves.
 GROUP = 1024
 #: Shingles whose values are computed at once.
@@ -64,19 +64,19 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Each coordinate hashes a shingle by its own odd factor and mask.
-_MASK = _scrambled(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-_FACTOR = _scrambled(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)) | np.uint64(1)
+#: Two hash functions for each coordinate: a shingle is hashed by an odd factor and a mask.
+_MASK = _scrambled(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
+_FACTOR = _scrambled(np.arange(1001, 2 * COORDINATES + 1001, dtype=np.uint64)) | np.uint64(1)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Posting keys of a non-empty set: its least hash in each coordinate, mixed with the coordinate."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    """Posting keys of a non-empty set: its two least hashes in each coordinate, mixed with the coordinate."""
+    least = np.full(2 * COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), BLOCK):
         part = hashes[start:start + BLOCK, None] ^ _MASK
         part *= _FACTOR
         np.minimum(least, part.min(axis=0), out=least)
-    return _scrambled(least + _MASK)
+    return _scrambled(_scrambled(least[:COORDINATES] + _MASK[:COORDINATES]) + least[COORDINATES:])
 
 
 def signature_bytes(keys: np.ndarray) -> np.ndarray:
@@ -135,14 +135,14 @@ def _posted(nodes: DataFrame, least_matches: int) -> DataFrame:
     return kept
 
 
-def _centre_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_matches: int, turn: int) -> DataFrame:
-    """(a, b): each list's centre a with its members b of other components, if they may link."""
-    order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("row"), "row")
+def _centre_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_matches: int) -> DataFrame:
+    """(a, b): each list's centres a with its members b, if they may link."""
     # Written, so that a list with many members can be split in the join.
-    centres = materialize(members.groupBy("key").agg(F.min_by(F.struct("row", "component"), order).alias("centre")), "centres")
+    centres = materialize(members.groupBy("key").agg(F.array_distinct(F.array(*[
+        F.min_by("row", F.xxhash64("row", F.lit(i))) for i in range(CENTRES)])).alias("centres")), "centres")
     # The lists of a group of copies name the same pairs, so pairs are merged before sketches join them.
-    met = materialize(members.join(centres, "key").where(F.col("component") != F.col("centre.component")).select(
-        F.col("centre.row").alias("a"), F.col("row").alias("b")).distinct(), "met")
+    met = materialize(members.join(centres, "key").select(F.explode("centres").alias("a"), F.col("row").alias("b"))
+                      .where("a <> b").distinct(), "met")
     left = docs.select(F.col("row").alias("a"), F.col("doc").alias("x"))
     right = docs.select(F.col("row").alias("b"), F.col("doc").alias("y"))
     joined = met.hint("merge").join(left, "a").hint("merge").join(right, "b")
@@ -213,29 +213,20 @@ def near_components(df: DataFrame, like: Similarity = PAIRS_OF_WORDS, doc_id: st
     texts = materialize(docs.join(named, docs.doc_id.eqNullSafe(named.i) & (docs.print == named.p))
                         .select("row", "text").dropDuplicates(["row"]), "texts")
 
-    links = linked = None
-    for turn in range(TURNS + 1):
-        if linked is None:
-            placed = members.withColumn("component", F.col("row"))
-        else:
-            # Lists whose members all lie in one component are done.
-            now = materialize(members.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
-                "component", F.coalesce("component", "row")), "placed")
-            several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-            placed = materialize(now.join(several.select("key"), "key"), "open_lists")
-            discard(now, members)
-            members = placed.select("key", "row")
-        if turn < TURNS:
-            pairs = _centre_pairs(placed, sketches, like, least_matches, turn)
-        else:
-            pairs = _open_pairs(placed, sketches, like, least_matches)
-        found = materialize(_confirmed(materialize(pairs, "retained"), texts, like), "confirmed")
-        if links is None:
-            links = found
-        elif found.isEmpty():
-            continue
-        else:
-            links = links.union(found)
+    first = materialize(_centre_pairs(members, sketches, like, least_matches), "retained")
+    links = materialize(_confirmed(first, texts, like), "confirmed")
+    linked = materialize(components(links, "a", "b"), "linked")
+    placed = materialize(members.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row")), "placed")
+    # Lists whose members all lie in one component are done.
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    still = materialize(placed.join(several.select("key"), "key"), "open_lists")
+    discard(placed, members)
+    second = _open_pairs(still, sketches, like, least_matches).join(first, ["a", "b"], "left_anti").join(
+        first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    more = materialize(_confirmed(materialize(second, "retained"), texts, like), "confirmed")
+    if not more.isEmpty():
+        links = links.union(more)
         linked = materialize(components(links, "a", "b"), "linked")
     discard(texts)
 

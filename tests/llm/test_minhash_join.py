@@ -33,10 +33,10 @@ def chain(rnd, n, length, step):
     return out
 
 
-@pytest.mark.parametrize("turns", [0, 1, 3])
-def test_chains_and_common_passages(spark, monkeypatch, turns):
-    """Links that no centre meets are found, whatever the number of turns."""
-    monkeypatch.setattr(minhash_join, "TURNS", turns)
+@pytest.mark.parametrize("centres", [1, 4])
+def test_chains_and_common_passages(spark, monkeypatch, centres):
+    """Links that no centre meets are found, whatever the number of centres."""
+    monkeypatch.setattr(minhash_join, "CENTRES", centres)
     rnd = random.Random(11)
     texts = chain(rnd, 60, 60, 2) + chain(rnd, 40, 80, 3)
     passage = " ".join(f"p{i}" for i in range(40))
