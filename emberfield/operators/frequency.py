@@ -44,7 +44,11 @@ def top_values_by_column(df: DataFrame, columns: Sequence[str], k: int) -> DataF
     with a limit per column is done before the shuffle, so a column with very many values sends
     only ``k`` of them per task.
     """
-    counts = materialize(long_counts(df, columns), "value-counts")
+    return top_of_counts(materialize(long_counts(df, columns), "value-counts"), k)
+
+
+def top_of_counts(counts: DataFrame, k: int) -> DataFrame:
+    """:func:`top_values_by_column` from ready counts per column and value (null is a value)."""
     totals = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_unique"), F.sum("n").alias("rows"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -64,10 +68,15 @@ def distinct_count(column: str, null_is_value: bool) -> Column:
 
 def fixed_order_counts(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
     """Counts for a fixed list of labels in its order, zero where a label does not occur."""
-    calendar = df.sparkSession.range(1, len(labels) + 1).select(
+    counts = value_counts(df.where(F.col(label).isin(list(labels))), label).withColumnRenamed(label, "label")
+    return in_fixed_order(counts, labels)
+
+
+def in_fixed_order(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Ready counts (label, n) for a fixed list of labels in its order."""
+    calendar = counts.sparkSession.range(1, len(labels) + 1).select(
         F.col("id").cast("int").alias("position"),
         F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("id").cast("int")).alias("label"))
-    counts = value_counts(df.where(F.col(label).isin(list(labels))), label).withColumnRenamed(label, "label")
     # At most one row per label of the fixed list.
     return calendar.join(F.broadcast(counts), "label", "left").select(
         "position", "label", F.coalesce("n", F.lit(0)).alias("n"))
@@ -92,13 +101,20 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     flat = ends["lo"] == ends["hi"]
     lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
     hi = F.when(flat, ends["hi"] + 0.5).otherwise(ends["hi"])
-    at = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)),
-                 F.lit(bins - 1))
     counts = (src.withColumns({"lo": lo, "hi": hi})
-              .select(at.cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+              .select(bin_number(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+    return all_bins(counts, lo, hi, bins)
+
+
+def bin_number(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    return F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("long")
+
+
+def all_bins(counts: DataFrame, lo: Column, hi: Column, bins: int) -> DataFrame:
+    """Ready counts (bin, n) with the limits of every bin, zero where a bin is empty."""
     width = (hi - lo) / bins
     # At most one row per bin.
-    return (df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return (counts.sparkSession.range(bins).withColumnRenamed("id", "bin")
             .join(F.broadcast(counts), "bin", "left")
             .select("bin", (lo + F.col("bin") * width).alias("low"),
                     (lo + (F.col("bin") + 1) * width).alias("high"),

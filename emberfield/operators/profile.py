@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from emberfield.functions.numeric import completeness_grade, to_number
 from emberfield.functions.time import elapsed_whole_minutes
-from emberfield.operators.quantiles import exact_quantiles
+from emberfield.operators.quantiles import exact_quantiles, quantiles_of_counts, wide_quantiles
+
+
+NULLS_SCHEMA = "column string, nulls long, rows long, null_pct double"
 
 
 def _one_row_to_long(row: DataFrame, columns: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -44,31 +47,21 @@ def completeness(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
             .orderBy("null_pct", "column"))
 
 
-def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns ``column`` and ``v`` with every number of the listed columns (missing as null)."""
-    return df.select(*[to_number(F.col(c)).alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "v")
-
-
 def describe(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """count, null_count, mean, std, min, quartiles (nearest rank) and max per column."""
-    v = F.col("v")
-    return exact_quantiles(
-        long_numbers(df, columns), "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-        by=["column"], rule="nearest", accuracy=accuracy,
-        extra=[F.count_if(v.isNull()).alias("null_count"), F.avg(v).alias("mean"),
-               F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")],
+    return wide_quantiles(
+        df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rule="nearest", accuracy=accuracy,
+        extra=lambda v: [F.count_if(v.isNull()).alias("null_count"), F.avg(v).alias("mean"),
+                         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")],
     ).withColumnRenamed("n", "count")
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, median, min, max and missing percent per column."""
-    v = F.col("v")
-    return exact_quantiles(
-        long_numbers(df, columns), "v", {"median": 0.5}, by=["column"],
-        extra=[F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
-               (F.avg(v.isNull().cast("int")) * 100).alias("null_pct")],
-    )
+    return wide_quantiles(
+        df, columns, {"median": 0.5},
+        extra=lambda v: [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+                         (F.avg(v.isNull().cast("int")) * 100).alias("null_pct")])
 
 
 def temporal_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,6 +100,14 @@ def duration_profile(
     ).select(*by, "n", "mean", "median", "p90", "p95", "max")
 
 
+def profile_of_counts(counts: DataFrame, minutes: str, n: str, by: Sequence[str]) -> DataFrame:
+    """:func:`duration_profile` from a table that has each value of a group once."""
+    v = F.col(minutes)
+    found = quantiles_of_counts(counts, minutes, n, {"median": 0.5, "p90": (0.90, "nearest"), "p95": (0.95, "nearest")}, by)
+    sums = counts.groupBy(*by).agg((F.sum(v * F.col(n)) / F.sum(n)).alias("mean"), F.max(v).alias("max"))
+    return found.join(sums, list(by)).select(*by, "n", "mean", "median", "p90", "p95", "max")
+
+
 def casualty_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Total and number of rows above zero per column."""
     row = df.agg(*[

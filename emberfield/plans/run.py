@@ -21,7 +21,6 @@ from emberfield.plans.incidents import Rollups, attach_rollups, build_rollups, f
 from emberfield.plans.report import prepare_export, report_tables
 from emberfield.plans.statistics import statistics_long
 from emberfield.plans.study import run_study
-from emberfield.session import discard, materialize
 from emberfield.sources import landed as L
 from emberfield.sources import sinks as S
 
@@ -141,17 +140,11 @@ def overview(spark: SparkSession, raw: str, results: str) -> dict[str, DataFrame
 
 
 def statistics(spark: SparkSession, raw: str, out: str) -> None:
-    """The export is parsed once and kept in columns; every section reads the few columns it needs."""
-    export = materialize(L.find_source(spark, raw), "export")
-    S.write_statistics(statistics_long(export), out)
-    discard(export)
+    S.write_statistics(statistics_long(L.find_source(spark, raw)), out)
 
 
 def report(spark: SparkSession, raw: str, out: str) -> None:
-    """The prepared export is written once in columns; every table reads the few columns it needs."""
-    export = materialize(prepare_export(L.find_source(spark, raw)), "export")
-    write_tables(report_tables(export), out)
-    discard(export)
+    write_tables(report_tables(prepare_export(L.find_source(spark, raw))), out)
 
 
 def study(spark: SparkSession, results: str, out: str) -> None:

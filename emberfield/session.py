@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL_DIRS: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "emberfield", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,18 +30,15 @@ def build_session(app: str = "emberfield", master: str | None = None, **conf: st
 def work_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests) gets a folder of its own; a cluster
-    session without it is an error, because executors could not read a machine-local folder.
+    Without that setting a local-mode session uses its warehouse; for a cluster session it is an error,
+    since executors may not share any other folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not named and spark.conf.get("spark.master", "").startswith("local"):
+        named = spark.conf.get("spark.sql.warehouse.dir") + "/work"
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="emberfield-")
-    return _LOCAL_DIRS[app]
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
@@ -64,6 +59,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return table
 
 
+def materialize_observed(df: DataFrame, metrics: Sequence[Column], keep: Sequence[str], name: str = "table") -> tuple[DataFrame, dict]:
+    """Write the columns ``keep`` of ``df`` and return them with ``metrics``, aggregates of the same pass over all rows."""
+    watch = Observation()
+    table = materialize(df.observe(watch, *metrics).select(*keep), name)
+    return table, watch.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing will read again."""
     for table in tables:

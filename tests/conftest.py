@@ -7,10 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from emberfield.session import build_session
 
     session = build_session("tests", "local[*]", **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")

@@ -128,7 +128,7 @@ def test_incidents_are_not_shuffled(inputs):
     """Roll-ups are broadcast by their file size: the incident side has no exchange."""
     base = incidents.base_table(**inputs)
     plan = base._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
     assert "Exchange hashpartitioning" not in plan
 
 
@@ -278,6 +278,24 @@ def test_report_tables(export):
     assert set(done.loc[done["column"] == "fire_spread", "grade"]) <= {"partial", "sparse"}
 
 
+@pytest.mark.parametrize("derive", [lambda df: report.report_tables(report.prepare_export(df)), statistics.statistics_tables])
+def test_the_export_is_read_few_times(spark, export, tmp_path, derive):
+    """All tables together scan the files of the export at most three times."""
+    path = str(tmp_path / "export")
+    export.write.parquet(path)
+    length = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        for table in derive(spark.read.parquet(path)).values():
+            table.collect()
+        plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", length)
+    assert 1 <= sum(p.count(f"{path}]") for p in plans) <= 3
+
+
 def test_dispatch_tables(spark):
     t0 = dt.datetime(2021, 3, 1, 7, 30)
     data = [(u, t0 + dt.timedelta(hours=h), t0 + dt.timedelta(hours=h, minutes=m), float(h))
@@ -295,11 +313,7 @@ def test_dispatch_tables(spark):
 
 
 def test_work_dir_is_the_configured_one(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        assert work_dir(spark) == named.rstrip("/")
-    else:
-        assert work_dir(spark) == work_dir(spark)
+    assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def test_work_dir_of_a_cluster_must_be_named():
