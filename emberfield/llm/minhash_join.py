@@ -222,8 +222,8 @@ def near_components(df: DataFrame, like: Similarity = PAIRS_OF_WORDS, doc_id: st
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     still = materialize(placed.join(several.select("key"), "key"), "open_lists")
     discard(placed, members)
-    second = _open_pairs(still, sketches, like, least_matches).join(first, ["a", "b"], "left_anti").join(
-        first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = _open_pairs(still, sketches, like, least_matches).join(tested, ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(second, "retained"), texts, like), "confirmed")
     if not more.isEmpty():
         links = links.union(more)
