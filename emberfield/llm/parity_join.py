@@ -211,8 +211,10 @@ def _open_pairs(members: DataFrame, linked: DataFrame, tested: DataFrame, like:
     placed = members.join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
         "component", F.coalesce("component", "row"))
     placed = materialize(placed, "placed")
+    discard(members)
     wide = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     left = materialize(placed.join(wide.select("key"), "key"), "open_lanes")
+    discard(placed)
     right = left.select("key", F.col("doc").alias("other"), F.col("component").alias("c"))
     met = left.join(right, "key").where("doc.row < other.row and component <> c")
     return _pairs(met, like).join(tested, ["a", "b"], "left_anti")
@@ -247,9 +249,13 @@ def near_groups(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id
         "row", F.col("n_shingles").alias("n"), *[F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(SKETCH_WORDS)]
     ).alias("doc")), "candidates")
     members = materialize(busy_rows.join(candidates.select("row", "doc"), "row"), "members")
+    # Large tables go as soon as nothing reads them again.
+    rows = materialize(rows, "rows")
+    discard(busy_rows, sketched)
     named = candidates.select("row", F.col("doc_id").alias("i"), F.col("print").alias("p")).hint("merge")
     texts = materialize(docs.join(named, docs.doc_id.eqNullSafe(named.i) & (docs.print == named.p))
                         .select("row", "text").dropDuplicates(["row"]), "candidate_texts")
+    discard(candidates)
 
     first = materialize(_star_pairs(members, like), "star_pairs")
     links = materialize(_verified(first, texts, like), "links")
@@ -258,7 +264,7 @@ def near_groups(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id
     more = materialize(_verified(second, texts, like), "links")
     if not more.isEmpty():
         linked = materialize(components(links.union(more), "a", "b"), "linked")
-    discard(busy_rows, members, texts)
+    discard(texts)
 
     grouped = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.coalesce(
