@@ -16,7 +16,7 @@ lower trie and what lies below that one's deepest nodes, known from the step bef
 
 A turn enters as 128 bits of the SHA-256 of its role and text, a cut prefix as 128 bits of the SHA-256 of
 the name it hangs on and the turns since; texts are read once and never shuffled. A conversation is one row
-of 32 bytes a turn, as a document is one row.
+of 24 bytes a turn, as a document is one row.
 
 Defined results: turns go by number, null first, and turns of one number by role and digest; repeated
 rows are turns of their own; null role or text is empty; very long texts count as one turn like any other;
