@@ -13,9 +13,6 @@ from emberfield.functions.text import leading_code
 from emberfield.operators.quantiles import exact_quantiles
 
 
-MAX_LEVELS = 1_000
-
-
 def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Add (x - mean) / sample standard deviation; null where the column does not vary.
 
@@ -34,13 +31,11 @@ def one_hot(
 ) -> DataFrame:
     """Add one 0/1 double per level. Observed levels are sorted; a fixed list keeps its order.
 
-    Only for low-cardinality columns: the level list becomes the column list of the plan.
+    The level list becomes the column list of the plan; for a column of any cardinality use
+    :func:`~emberfield.operators.levels.one_hot_sparse`.
     """
     if levels is None:
-        found = df.where(F.col(column).isNotNull()).select(column).distinct()
-        levels = sorted(r[0] for r in found.limit(MAX_LEVELS + 1).collect())
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+        levels = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
     kept = list(levels)[1:] if drop_first else list(levels)
     name = prefix or column
     return df.withColumns({

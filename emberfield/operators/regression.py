@@ -1,7 +1,7 @@
 """Linear regression from distributed sums.
 
 Three passes over the rows, each one grouped aggregate whose result has (strata x category levels)
-rows and never grows with the data:
+rows, as many as the fit has reported terms:
 
 1. mean and spread per stratum, for standardising and for centring the response;
 2. sums of products of the numeric columns per stratum and category level;
@@ -26,9 +26,7 @@ from pyspark.sql import functions as F
 from emberfield.functions.numeric import significance_stars
 
 CONST = "const"
-_FULL_LEVERAGE = 1e-10
-# Bound of strata x category levels: such tables are collected and broadcast.
-MAX_GROUPS = 20_000
+FULL_LEVERAGE = 1e-10
 
 
 @dataclass
@@ -146,7 +144,7 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
     raise ArithmeticError("the continued fraction did not converge")
 
 
-def _pairs(k: int) -> list[tuple[int, int]]:
+def pairs(k: int) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(k), 2))
 
 
@@ -157,18 +155,19 @@ def product_sums(df: DataFrame, by: Sequence[str], columns: Sequence[Column],
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(w).alias("s0"),
         *[F.sum(w * c).alias(f"s1_{i}") for i, c in enumerate(columns)],
-        *[F.sum(w * columns[i] * columns[j]).alias(f"s2_{i}_{j}") for i, j in _pairs(len(columns))],
+        *[F.sum(w * columns[i] * columns[j]).alias(f"s2_{i}_{j}") for i, j in pairs(len(columns))],
         *extra)
 
 
-def _symmetric(row, k: int) -> np.ndarray:
-    """(k+1) x (k+1) matrix of one group with the constant first."""
+def symmetric(row, k: int, products: str = "s2") -> np.ndarray:
+    """(k+1) x (k+1) matrix of one group with the constant first; other ``products`` come without it."""
     out = np.zeros((k + 1, k + 1))
-    out[0, 0] = row["s0"] or 0.0
-    for i in range(k):
-        out[0, i + 1] = out[i + 1, 0] = row[f"s1_{i}"] or 0.0
-    for i, j in _pairs(k):
-        out[i + 1, j + 1] = out[j + 1, i + 1] = row[f"s2_{i}_{j}"] or 0.0
+    if products == "s2":
+        out[0, 0] = row["s0"] or 0.0
+        for i in range(k):
+            out[0, i + 1] = out[i + 1, 0] = row[f"s1_{i}"] or 0.0
+    for i, j in pairs(k):
+        out[i + 1, j + 1] = out[j + 1, i + 1] = row[f"{products}_{i}_{j}"] or 0.0
     return out
 
 
@@ -201,6 +200,10 @@ def fit_ols(
     ``cov`` is ``HC3``, ``classic`` or ``cluster`` (sums of scores per ``cluster`` value, without
     category). ``levels`` fixes the dummy order (first is the reference, levels that do not occur
     get coefficient 0); otherwise the observed levels are sorted. Incomplete rows are left out.
+
+    Every dummy is a term of the result with its covariances, so the driver holds a matrix of that
+    size. For a category of any cardinality, and wherever its dummies are not reported, use
+    :func:`~emberfield.operators.absorbed.fit_absorbed`.
     """
     if cov == "cluster" and (category or not cluster):
         raise ValueError("cluster errors need a cluster column and no category")
@@ -217,11 +220,9 @@ def fit_ols(
     # Pass 1: location and spread per stratum.
     stats = src.groupBy("_s").agg(F.avg("_y").alias("my"), *[
         F.struct(F.avg(f"_x{i}").alias("m"), F.stddev_samp(f"_x{i}").alias("s")).alias(f"z{i}")
-        for i in range(len(standardised))]).limit(MAX_GROUPS + 1).collect()
+        for i in range(len(standardised))]).collect()
     if not stats:
         return {}
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} strata")
     params = spark.createDataFrame(
         [(r["_s"], r["my"],
           [r[f"z{i}"]["m"] for i in range(len(standardised))] + [0.0] * len(controls),
@@ -229,8 +230,8 @@ def fit_ols(
          for r in stats],
         "_s string, my double, m array<double>, s array<double>")
     centre = {r["_s"]: r["my"] for r in stats}
-    # One row per stratum: a local table of known, tiny size.
-    scaled = src.join(F.broadcast(params), "_s").select(
+    # A local table of known size: Catalyst broadcasts it below its threshold.
+    scaled = src.join(params, "_s").select(
         "_s", "_g", *(["_cl"] if cluster else []), (F.col("_y") - F.col("my")).alias("_y"),
         *[((F.col(f"_x{i}") - F.col("m")[i]) / F.col("s")[i]).alias(f"_x{i}") for i in range(k)])
     xs = [F.col(f"_x{i}") for i in range(k)]
@@ -238,11 +239,8 @@ def fit_ols(
     # Pass 2: products of the numeric columns and the response.
     small: dict[str, dict[str, np.ndarray]] = {}
     rows: dict[str, int] = {}
-    sums = product_sums(scaled, ["_s", "_g"], [*xs, F.col("_y")]).limit(MAX_GROUPS + 1).collect()
-    if len(sums) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} strata x category levels")
-    for r in sums:
-        small.setdefault(r["_s"], {})[r["_g"]] = _symmetric(r, k + 1)
+    for r in product_sums(scaled, ["_s", "_g"], [*xs, F.col("_y")]).collect():
+        small.setdefault(r["_s"], {})[r["_g"]] = symmetric(r, k + 1)
         rows[r["_s"]] = rows.get(r["_s"], 0) + r["rows"]
     solved = {}
     for s, groups in small.items():
@@ -266,23 +264,22 @@ def fit_ols(
             level_rows.append((
                 s, level, float(beta[at].sum()), beta[core].tolist(),
                 float(inv[np.ix_(at, at)].sum()), inv[core][:, at].sum(axis=1).tolist(),
-                [float(inv[i + 1, j + 1]) * (1 if i == j else 2) for i, j in _pairs(k)]))
+                [float(inv[i + 1, j + 1]) * (1 if i == j else 2) for i, j in pairs(k)]))
     fitted = spark.createDataFrame(
         level_rows, "_s string, _g string, b0 double, b array<double>, h0 double, "
         "h1 array<double>, h2 array<double>")
-    # Strata x levels rows, the same bound as the sums collected above.
-    joined = scaled.join(F.broadcast(fitted), ["_s", "_g"])
+    joined = scaled.join(fitted, ["_s", "_g"])
     predicted = F.col("b0")
     leverage = F.col("h0")
     for i, x in enumerate(xs):
         predicted = predicted + F.col("b")[i] * x
         leverage = leverage + F.col("h1")[i] * x * 2
-    for at, (i, j) in enumerate(_pairs(k)):
+    for at, (i, j) in enumerate(pairs(k)):
         leverage = leverage + F.col("h2")[at] * xs[i] * xs[j]
     keep = ["_s", "_g", *(["_cl"] if cluster else []), *[f"_x{i}" for i in range(k)]]
     resid = joined.select(*keep, (F.col("_y") - predicted).alias("_e"),
                           (1 - leverage).alias("_room") if cov == "HC3" else F.lit(1.0).alias("_room"))
-    free = F.col("_room") > _FULL_LEVERAGE
+    free = F.col("_room") > FULL_LEVERAGE
     weight = F.when(free, F.pow(F.col("_e") / F.col("_room"), F.lit(2)))
     out: dict[str, Fit] = {}
     if cov == "cluster":
@@ -294,7 +291,7 @@ def fit_ols(
             [F.sum(F.col("_e") * F.col("_e")).alias("ssr"), F.count_if(~free).alias("full")])
         meats, ssr, full, n_clusters = {}, {}, {}, {}
         for r in sums.collect():
-            meats.setdefault(r["_s"], {})[r["_g"]] = _symmetric(r, k if cov == "HC3" else 0)
+            meats.setdefault(r["_s"], {})[r["_g"]] = symmetric(r, k if cov == "HC3" else 0)
             ssr[r["_s"]] = ssr.get(r["_s"], 0.0) + r["ssr"]
             full[r["_s"]] = full.get(r["_s"], 0) + r["full"]
     for s, fit in solved.items():
@@ -326,11 +323,11 @@ def _cluster_meat(resid: DataFrame, xs: Sequence[Column]) -> tuple[dict, dict, d
         F.sum(F.col("_e") * F.col("_e")).alias("ssr"))
     total = scores.groupBy("_s").agg(
         F.sum("ssr").alias("ssr"), F.count(F.lit(1)).alias("g"),
-        *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in _pairs(k + 1)])
+        *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs(k + 1)])
     meats, ssr, clusters = {}, {}, {}
     for r in total.collect():
         m = np.zeros((k + 1, k + 1))
-        for i, j in _pairs(k + 1):
+        for i, j in pairs(k + 1):
             m[i, j] = m[j, i] = r[f"m{i}_{j}"]
         meats[r["_s"]], ssr[r["_s"]], clusters[r["_s"]] = m, r["ssr"], r["g"]
     return meats, ssr, clusters
