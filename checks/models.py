@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from checks.registry import Tables, check, r_sql, round_columns, rounded
 from checks.rollups import RATES_SQL, order_nations
 from emberfield.functions.time import elapsed_minutes
+from emberfield.operators.absorbed import fit_absorbed
 from emberfield.operators.design import (
     design_matrix, model_input, model_input_counts, one_hot, quartile_profile, sample_summary, stratum, zscore)
+from emberfield.operators.levels import one_hot_sparse
 from emberfield.operators.regression import coefficient_table, fit_ols, nested_rsquared, product_sums
 from emberfield.operators.rollup import group_rates
 from emberfield.session import materialize
@@ -32,6 +34,20 @@ def dummies(t: Tables):
     return one_hot(t.part.select("p_partkey", "p_type"), "p_type", prefix="kind").drop("p_type")
 
 
+@check("one_hot_sparse", """
+WITH l AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 2 AS position, count(*) OVER () - 1 AS size
+           FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL))
+SELECT o_orderkey, CASE WHEN position >= 0 THEN position END AS position, size,
+       CASE WHEN position >= 0 THEN 1.0::DOUBLE END AS entry
+FROM orders LEFT JOIN l USING (o_custkey)
+""")
+def sparse_dummies(t: Tables):
+    """A dummy per customer, as one sparse vector a row."""
+    v = one_hot_sparse(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "v")
+    return v.select("o_orderkey", F.get(F.col("v.indices"), F.lit(0)).alias("position"), "v.size",
+                    F.get(F.col("v.values"), F.lit(0)).alias("entry"))
+
+
 @check("design_matrix", f"""
 SELECT p_partkey, 1.0::DOUBLE AS const,
        {r_sql('(p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER ()', 6)} AS p_retailprice,
@@ -162,7 +178,7 @@ WITH s AS (SELECT {stratum} AS g, {category} AS c, l_extendedprice AS y,
  e AS (SELECT d.g, a, b, yd - b1 * a - b2 * b AS e,
    1 / nc + i11 * a * a + 2 * i12 * a * b + i22 * b * b AS h FROM d JOIN k ON d.g = k.g),
  w AS (SELECT g, sum(e * e / (1 - h) / (1 - h) * a * a) AS waa, sum(e * e / (1 - h) / (1 - h) * a * b) AS wab,
-   sum(e * e / (1 - h) / (1 - h) * b * b) AS wbb, sum(e * e) AS ssr FROM e GROUP BY g),
+   sum(e * e / (1 - h) / (1 - h) * b * b) AS wbb, sum(e * e) AS ssr FROM e WHERE 1 - h > 1e-10 GROUP BY g),
  f AS (SELECT k.*, w.* EXCLUDE (g), 1 - ssr / sst AS r2,
    sqrt(i11 * i11 * waa + 2 * i11 * i12 * wab + i12 * i12 * wbb) AS se1,
    sqrt(i12 * i12 * waa + 2 * i12 * i22 * wab + i22 * i22 * wbb) AS se2,
@@ -191,6 +207,28 @@ def nested(t: Tables):
     return round_columns(row, ["r2_base", "r2", "delta"], 8)
 
 
+@check("ols_absorbed", _within_sql("'all'", f"""
+SELECT 'all' AS stratum, 'l_quantity' AS term, {r_sql('b1')} AS coef, {r_sql('se1')} AS se, n, {r_sql('r2')} AS r2 FROM f
+UNION ALL SELECT 'all', 'l_discount', {r_sql('b2')}, {r_sql('se2')}, n, {r_sql('r2')} FROM f""", "l_orderkey"))
+def absorbed(t: Tables):
+    """Two slopes within orders: one effect per order, eliminated inside Spark."""
+    fits = fit_absorbed(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], absorb="l_orderkey").fits
+    return reported(coefficient_table(t.spark, fits, ["l_quantity", "l_discount"]))
+
+
+@check("ols_level_effects", f"""
+WITH s AS (SELECT l_partkey, l_extendedprice AS y, (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS z
+           FROM lineitem),
+ m AS (SELECT l_partkey, count(*) AS n, avg(y) AS ym, avg(z) AS zm FROM s GROUP BY 1),
+ b AS (SELECT sum((z - zm) * (y - ym)) / sum((z - zm) * (z - zm)) AS b FROM s JOIN m USING (l_partkey))
+SELECT CAST(l_partkey AS VARCHAR) AS level, n, {r_sql('ym - b * zm')} AS intercept FROM m, b
+""")
+def level_effects(t: Tables):
+    """The intercept of every part, next to one slope."""
+    found = fit_absorbed(t.lineitem, "l_extendedprice", ["l_quantity"], absorb="l_partkey", cov="classic")
+    return round_columns(found.effects.select("level", "n", "intercept"), ["intercept"])
+
+
 @check("ols_inference")
 def inference(t: Tables):
     """The whole coefficient table with tests and stars."""

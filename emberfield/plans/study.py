@@ -11,6 +11,7 @@ from emberfield import constants as K
 from emberfield.operators.design import (
     model_input, model_input_counts, quartile_profile, sample_summary, stratum)
 from emberfield.operators.frequency import top_rows
+from emberfield.operators.absorbed import fit_absorbed
 from emberfield.operators.regression import CONST, Fit, coefficient_table, fit_ols, nested_rsquared
 from emberfield.operators.rollup import group_rates
 from emberfield.session import materialize
@@ -35,10 +36,10 @@ def full_model(df: DataFrame, response: str = "response_time_min") -> FullModel:
     return FullModel(fit, nested_rsquared(fit, K.SOCIO_COLUMNS))
 
 
-def stratum_model(df: DataFrame, prefix: str, response: str = "response_time_min") -> dict[str, Fit]:
-    """One model with code dummies; report only the constant and the socio rows of it."""
+def stratum_model(df: DataFrame, response: str = "response_time_min") -> Fit:
+    """The constant and the socio rows of a model with a dummy per code; the dummies are absorbed."""
     coded = df.withColumn("code", F.format_string("%03d", F.col("incident_code").cast("int")))
-    return fit_ols(coded, response, K.SOCIO_COLUMNS, K.CONTROL_COLUMNS, category="code", prefix=prefix)
+    return fit_absorbed(coded, response, K.SOCIO_COLUMNS, K.CONTROL_COLUMNS, absorb="code").fits.get("all")
 
 
 def district_fire_rates(df: DataFrame) -> DataFrame:
@@ -66,9 +67,8 @@ def run_study(features: DataFrame) -> dict[str, DataFrame]:
     socio = [CONST, *K.SOCIO_COLUMNS]
     for name, bounds in STRATA.items():
         part = stratum(df, "incident_code", bounds)
-        fits = stratum_model(part, f"{name[0]}code")
-        out[f"{name}_model"] = coefficient_table(
-            spark, {name: f for f in fits.values()}, socio)
+        fit = stratum_model(part)
+        out[f"{name}_model"] = coefficient_table(spark, {name: fit} if fit else {}, socio)
         out[f"{name}_sample"] = sample_summary(part, "response_time_min")
         out[f"{name}_by_poverty"] = quartile_profile(part, "poverty_rate", "response_time_min")
 
