@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,8 +33,10 @@ LONG_WORD = 400
 ROW_WORD, ROWS = 48, 20_000
 #: Texts whose words are looked up and merged together.
 GROUP = 512
-#: Words remembered by one task, and stretches per generation.
-CACHE_WORDS, CACHE_STRETCHES = 350_000, 60_000
+#: Words and stretches remembered by one task, in two generations of at most this many each.
+CACHE_WORDS, CACHE_STRETCHES = 175_000, 60_000
+#: Tokens that are decoded together; a longer text is decoded alone.
+DECODE_TOKENS = 1 << 20
 NO_RANK = 1 << 62
 ID_MASK = (1 << 32) - 1
 
@@ -104,7 +107,8 @@ class Vocabulary:
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.bytes_of |= {i: s.encode() for s, i in special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -211,13 +215,9 @@ class Vocabulary:
         cut = [s for s in new - again if s and len(s) <= LONG_WORD and s.strip() == s]
         if cut:
             words = _PIECES.findall(" " + " ".join(cut))
-            fresh = list(set(words).difference(self.cache))
-            if len(self.cache) + len(fresh) > CACHE_WORDS:
-                self.cache.clear()
-                fresh = list(set(words))
-            self.cache.update(zip(fresh, self.merge_many(fresh)))
+            known = self._merged(set(words))
             # Within a stretch no word begins with a space, so each space begins the next stretch.
-            ids = list(map(self.cache.__getitem__, words))
+            ids = list(map(known.__getitem__, words))
             begins = [i for i, w in enumerate(words) if w[0] == " "]
             ends = begins[1:] + [len(words)]
             recent.update(zip(cut, [ids[i] if j == i + 1 else b"".join(ids[i:j]) for i, j in zip(begins, ends)]))
@@ -225,6 +225,21 @@ class Vocabulary:
             self.older, self.recent = recent, {}
         return recent
 
+    def _merged(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of words, at least the wanted ones. A word not met for a generation is forgotten."""
+        known, older = self.words, self.older_words
+        new = wanted.difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        fresh = list(new - again)
+        known.update(zip(fresh, self.merge_many(fresh)))
+        self._age_words()
+        return known
+
+    def _age_words(self) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.older_words, self.words = self.words, {}
+
     def marked(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
@@ -256,15 +271,14 @@ class Vocabulary:
         return self._pieces(text)
 
     def _pieces(self, text: str) -> bytes:
-        cache, out = self.cache, []
+        out = []
         for word in pieces(text):
-            got = cache.get(word)
+            got = self.words.get(word)
             if got is None:
-                got = array.array("i", self.merge(word)).tobytes()
+                got = self.older_words.get(word) or array.array("i", self.merge(word)).tobytes()
                 if len(word) <= LONG_WORD:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = got
+                    self.words[word] = got
+                    self._age_words()
             out.append(got)
         return b"".join(out)
 
@@ -279,6 +293,22 @@ def joined(bytes_of: dict[int, bytes], ids: list[int]) -> str:
     return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def decoded_rows(names: np.ndarray, lists: pa.ListArray) -> Iterator[str]:
+    """The text of each list of ids. ``names`` holds the byte string of each id; a null list is the empty text."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    row = low = 0
+    while row < len(ends):
+        # Whole lists of at most DECODE_TOKENS ids, or one longer list.
+        last = max(row + 1, int(np.searchsorted(ends, low + DECODE_TOKENS, "right")))
+        high = int(ends[last - 1])
+        parts, start = names[ids[low:high]].tolist(), 0
+        for end in (ends[row:last] - low).tolist():
+            yield b"".join(parts[start:end]).decode("utf-8", "replace")
+            start = end
+        row, low = last, high
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(source: str) -> Vocabulary:
     return Vocabulary(source)
@@ -320,9 +350,11 @@ def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str
         spread = df.sparkSession.sparkContext.broadcast(Vocabulary(file.read()).bytes_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spread.value
+        names = np.empty(max(spread.value) + 1, object)
+        for i, name in spread.value.items():
+            names[i] = name
         for batch in batches:
-            made = pa.array([joined(table, v.as_py() or []) for v in batch.column(ids)], pa.string())
+            made = pa.array(decoded_rows(names, batch.column(ids)), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, text])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())]))

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from emberfield.llm import bpe
 from emberfield.llm.bpe import Vocabulary, bpe_decode, bpe_encode, byte_letters
 from tests.llm.helpers import AWKWARD, awkward, empty
 
@@ -47,3 +50,14 @@ def test_awkward_rows(spark):
     want = sorted(((d, theirs.encode(t or "", add_special_tokens=False).ids, t or "") for d, t, *_ in AWKWARD), key=repr)
     assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in got), key=repr) == want
     assert bpe_decode(bpe_encode(empty(spark), PATH), PATH).count() == 0
+
+
+def test_rows_are_decoded_in_slices(monkeypatch):
+    names = np.array([b"a", b"\xc3", b"\xa9"], object)
+    lists = pa.array([[0, 1, 2], None, [], [1], [0] * 5, [2]], pa.list_(pa.int32()))
+    want = ["aé", "", "", "�", "aaaaa", "�"]
+    for most in (1, 2, 100):
+        monkeypatch.setattr(bpe, "DECODE_TOKENS", most)
+        assert list(bpe.decoded_rows(names, lists)) == want
+        assert list(bpe.decoded_rows(names, lists.slice(2, 3))) == want[2:5]
+        assert list(bpe.decoded_rows(names, lists.slice(0, 0))) == []
