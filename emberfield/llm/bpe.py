@@ -31,12 +31,12 @@ from emberfield.llm.common import without
 LONG_WORD = 400
 #: Words up to this length are merged many at a time, at most ``ROWS`` in one array.
 ROW_WORD, ROWS = 48, 20_000
-#: Texts whose words are looked up and merged together.
+#: Texts that are coded together; each group leaves the task before the next one is read.
 GROUP = 512
 #: Words and stretches remembered by one task, in two generations of at most this many each.
-CACHE_WORDS, CACHE_STRETCHES = 175_000, 60_000
+CACHE_WORDS, CACHE_STRETCHES = 120_000, 40_000
 #: Tokens that are decoded together; a longer text is decoded alone.
-DECODE_TOKENS = 1 << 20
+DECODE_TOKENS = 1 << 18
 NO_RANK = 1 << 62
 ID_MASK = (1 << 32) - 1
 
@@ -328,15 +328,13 @@ def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(source.value)
         for batch in batches:
-            made, ends = [], [0]
             for start in range(0, batch.num_rows, GROUP):
-                texts = [v or "" for v in batch.column(text).slice(start, GROUP).to_pylist()]
-                for ids_of_text in words.packed_many(texts):
-                    made.append(ids_of_text)
-                    ends.append(ends[-1] + len(ids_of_text) // 4)
-            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(made))])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], names=[*keep, ids])
+                part = batch.slice(start, GROUP)
+                made = words.packed_many([v or "" for v in part.column(text).to_pylist()])
+                ends = np.cumsum([0, *(len(m) // 4 for m in made)])
+                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], names=[*keep, ids])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)
@@ -354,7 +352,9 @@ def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str
         for i, name in spread.value.items():
             names[i] = name
         for batch in batches:
-            made = pa.array(decoded_rows(names, batch.column(ids)), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, text])
+            for start in range(0, batch.num_rows, GROUP):
+                part = batch.slice(start, GROUP)
+                made = pa.array(decoded_rows(names, part.column(ids)), pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), made], names=[*keep, text])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())]))
