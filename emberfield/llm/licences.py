@@ -46,7 +46,7 @@ OTHER_ROWS, HELD_ROWS = 1500, 500
 LEAST_SHARE = 0.6
 OTHER = "other"
 #: What an unknown licence must have besides its probability.
-CUE = r"licen|lizenz|copyright|permission|redistribut|public domain|spdx|gpl|\beupl"
+CUE = r"licen|lizenz|copyright|permission|redistribut|public domain|spdx|gpl"
 #: Words that lines of the ordinary sample must not have.
 GATE = r"licen[cs]|copyright|permission|redistribut|warrant|creative commons|public domain|spdx|gpl|\bcc by"
 
