@@ -95,10 +95,11 @@ def fit_absorbed(
             row=r, whole=whole, within=within, inverse=inverse, rank=rank, beta=inverse @ within[:k, k],
             mean=np.array([r["at_first"][f"s1_{i}"] for i in range(k + 1)]),
             shift=np.array([0.0 if i < len(standardised) else r[f"_m{i}"] for i in range(k)]))
-    fitted = spark.createDataFrame(
+    # Broadcast, or the join would send all rows of a stratum to one task.
+    fitted = F.broadcast(spark.createDataFrame(
         [(s, f["beta"].tolist(), [float(f["inverse"][i, j]) * (1 if i == j else 2) for i, j in pairs(k)],
           float(f["row"]["_my"] - f["beta"] @ f["shift"]))
-         for s, f in solved.items()], "_s string, _b array<double>, _h array<double>, _c double")
+         for s, f in solved.items()], "_s string, _b array<double>, _h array<double>, _c double"))
     effects = levels.join(fitted, "_s").select(
         F.col("_s").alias("stratum"), F.col("_g").alias("level"), F.col("rows").alias("n"),
         (F.col(f"s1_{k}") / n - _dot("_b", [F.col(f"s1_{i}") / n for i in range(k)]) + F.col("_c")).alias("intercept"))

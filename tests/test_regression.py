@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberfield.operators import absorbed, regression
 from emberfield.operators.design import (
     model_input, model_input_counts, one_hot, quartile_profile, sample_summary, with_quartile, zscore)
 from emberfield.operators.regression import coefficient_table, f_tail, fit_ols, nested_rsquared
@@ -204,3 +205,16 @@ def test_f_tail_is_one_function_at_every_size():
         assert tails == pytest.approx([tails[0]] * 4, rel=1e-3)
     assert f_tail(3.841458820694124, 1, 1e10) == pytest.approx(0.05, rel=1e-6)
     assert f_tail(5.991464547107979 / 2, 2, 1e10) == pytest.approx(0.05, rel=1e-6)
+
+
+@pytest.mark.parametrize("module, fit", [
+    (regression, lambda df: fit_ols(df, "y", ["x1", "x2"], ["c1"], category="cat", strata="s")),
+    (absorbed, lambda df: absorbed.fit_absorbed(df, "y", ["x1", "x2"], ["c1"], absorb="cat", strata="s"))])
+def test_rows_of_a_stratum_stay_in_their_tasks(spark, data, monkeypatch, module, fit):
+    """Parameters come to the rows; no pass deals the rows of the table by stratum or level to make its sums."""
+    seen, sums = [], module.product_sums
+    monkeypatch.setattr(module, "product_sums", lambda df, *rest: seen.append(df) or sums(df, *rest))
+    assert len(getattr(fit(spark.createDataFrame(data)), "fits", "12")) == 2
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2
+    assert not any("hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
