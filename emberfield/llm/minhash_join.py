@@ -32,7 +32,7 @@ component, a null doc_id only where all its rows have none; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,12 @@ LEAST_MATCHES = 12
 CENTRES = 4
 #: Candidates that one copy of a centre's text serves.
 GROUP = 1024
+#: Members of a list that one task compares with all members of the list.
+LIST_PART = 1024
 #: Shingles whose values are computed at once.
 BLOCK = 4096
 _BYTES = COORDINATES // 8
+_FIELDS = ["n", *[f"s{i}" for i in range(_BYTES)], *[f"p{i}" for i in range(SKETCH_WORDS)]]
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -105,7 +108,16 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
     return per_row(docs, ["text"], _ADDED, run, keep=["doc_id", "print"])
 
 
-def _collisions(a: Column, b: Column) -> Column:
+def _flat(doc: Column, prefix: str) -> list[Column]:
+    """The fields of a sketch as columns without nulls: a condition on them compiles to a method short enough for the JIT."""
+    return [F.coalesce(doc[name], F.lit(0).cast("long")).alias(prefix + name) for name in _FIELDS]
+
+
+def _flattened(prefix: str) -> dict[str, Column]:
+    return {name: F.col(prefix + name) for name in _FIELDS}
+
+
+def _collisions(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column:
     """Equal bytes of two signatures: every byte that differs is folded onto its lowest bit."""
     def differing(i: int) -> Column:
         x = a[f"s{i}"].bitwiseXOR(b[f"s{i}"])
@@ -116,7 +128,7 @@ def _collisions(a: Column, b: Column) -> Column:
     return F.lit(COORDINATES) - sum((differing(i) for i in range(_BYTES)), F.lit(0))
 
 
-def _may_link(a: Column, b: Column, like: Similarity, least_matches: int) -> Column:
+def _may_link(a: Mapping[str, Column], b: Mapping[str, Column], like: Similarity, least_matches: int) -> Column:
     """Sizes within the ratio, enough collisions, and differing parities within the bound of the sizes."""
     differing = sum((F.bit_count(a[f"p{i}"].bitwiseXOR(b[f"p{i}"])) for i in range(SKETCH_WORDS)), F.lit(0))
     return ((a["n"] * like.whole >= like.share * b["n"]) & (b["n"] * like.whole >= like.share * a["n"])
@@ -143,19 +155,23 @@ def _centre_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_m
     # The lists of a group of copies name the same pairs, so pairs are merged before sketches join them.
     met = materialize(members.join(centres, "key").select(F.explode("centres").alias("a"), F.col("row").alias("b"))
                       .where("a <> b").distinct(), "met")
-    left = docs.select(F.col("row").alias("a"), F.col("doc").alias("x"))
-    right = docs.select(F.col("row").alias("b"), F.col("doc").alias("y"))
+    left = docs.select(F.col("row").alias("a"), *_flat(F.col("doc"), "x_"))
+    right = docs.select(F.col("row").alias("b"), *_flat(F.col("doc"), "y_"))
     joined = met.hint("merge").join(left, "a").hint("merge").join(right, "b")
-    return joined.where(_may_link(F.col("x"), F.col("y"), like, least_matches)).select("a", "b")
+    return joined.where(_may_link(_flattened("x_"), _flattened("y_"), like, least_matches)).select("a", "b")
 
 
 def _open_pairs(members: DataFrame, docs: DataFrame, like: Similarity, least_matches: int) -> DataFrame:
     """(a, b) with a < b: members of one list in different components, if they may link."""
-    left = materialize(members.hint("merge").join(docs, "row"), "open_members")
-    right = left.select("key", F.col("doc").alias("other"), F.col("row").alias("r"), F.col("component").alias("c"))
-    met = left.hint("merge").join(right, "key").where(
+    # The members of a long list meet in several parts: each member is in one, and is compared with all of them.
+    lengths = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / LIST_PART).alias("parts")), "list_parts")
+    left = materialize(members.hint("merge").join(docs, "row").join(lengths, "key"), "open_members")
+    one = left.select("key", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"), "row", "component", *_flat(F.col("doc"), "x_"))
+    all_parts = left.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                            F.col("row").alias("r"), F.col("component").alias("c"), *_flat(F.col("doc"), "y_"))
+    met = one.hint("merge").join(all_parts, ["key", "part"]).where(
         (F.col("row") < F.col("r")) & (F.col("component") != F.col("c"))
-        & _may_link(F.col("doc"), F.col("other"), like, least_matches))
+        & _may_link(_flattened("x_"), _flattened("y_"), like, least_matches))
     return met.select(F.col("row").alias("a"), F.col("r").alias("b")).distinct()
 
 

@@ -100,3 +100,35 @@ def test_edges(spark):
     got = near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(
         [(1, 1), (2, 1), (3, 3), (4, 4), (None, 9), (None, 9), (9, 9)], key=repr)
+
+
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_long_lists_meet_in_parts(spark, monkeypatch, part):
+    """Pairs of different components are found once each, however many parts a list has."""
+    monkeypatch.setattr(minhash_join, "LIST_PART", part)
+    rnd = random.Random(part)
+    rows = list(enumerate(chain(rnd, 40, 60, 2)))
+    signed = minhash_join._signed(spark.createDataFrame(rows, "doc_id long, print string").withColumn(
+        "text", F.col("print")), minhash_join.PAIRS_OF_WORDS).collect()
+    docs = spark.createDataFrame([(r.doc_id, (r.n_shingles, *r.bytes, *r.parity)) for r in signed], "row long, doc struct<" + ", ".join(
+        f"{name}: long" for name in minhash_join._FIELDS) + ">")
+    members = spark.range(40).selectExpr("explode(array(7L, 8L + id % 2)) AS key", "id AS row", "id div 2 AS component")
+    got = sorted(tuple(r) for r in minhash_join._open_pairs(members, docs, minhash_join.PAIRS_OF_WORDS, 12).collect())
+    spread = minhash_join._open_pairs(members.where("key = 7"), docs, minhash_join.PAIRS_OF_WORDS, 0).collect()
+    assert got == sorted(set(got)) and {(i, i + 1) for i in range(1, 39, 2)} <= set(got) <= {tuple(r) for r in spread}
+    assert not any(a // 2 == b // 2 for a, b in got)
+
+
+def test_condition_of_pairs_is_compiled(spark):
+    """Past 8000 bytes the JVM interprets a method, and pairs take fifty times as long."""
+    docs = spark.createDataFrame([], "row long, doc struct<" + ", ".join(f"{name}: long" for name in minhash_join._FIELDS) + ">")
+    members = spark.createDataFrame([], "key long, row long, component long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = minhash_join._open_pairs(members, docs, minhash_join.PAIRS_OF_WORDS, 12)
+        plans = found._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [plans.apply(i)._3().maxMethodCodeSize() for i in range(plans.size())]
+        joins = [i for i in range(plans.size()) if "SortMergeJoin" in plans.apply(i)._1()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joins and max(sizes) < 8000
