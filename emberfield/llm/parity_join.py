@@ -229,15 +229,18 @@ def near_groups(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id
     """(doc_id, print, n_shingles, component_id, kept) for every row of ``df``; one row of each component is kept."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_print(F.col(text)).alias("print"))
     sketched = materialize(_sketched(docs, like).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    rows = sketched.select("row", "doc_id", "print", "n_shingles", "set_key")
+    # The lanes are by far the largest column; their table goes as soon as they are dealt out.
+    lean = materialize(sketched.drop("lanes"), "lean_sketches")
+    rows = lean.select("row", "doc_id", "print", "n_shingles", "set_key")
     classes = materialize(rows.where("n_shingles > 0").groupBy("n_shingles", "set_key").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least_id"),
         F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row")), "classes")
     # Only one document of each class goes on.
     # The merge hints keep the plan of the large joins alike at every size.
-    nodes = sketched.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
+    nodes = sketched.select("row", "lanes").join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
     lanes = materialize(nodes.select("row", F.explode("lanes").alias("l")).select(
         "row", F.col("l.spare").alias("spare"), F.explode("l.keys").alias("key")), "lanes")
+    discard(sketched)
     busy = materialize(lanes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "busy_lanes")
     # A band has its own number of spare lanes, so the bands of a document stay apart.
     frequent = Window.partitionBy("row", "spare").orderBy(F.desc("n"), "key")
@@ -245,13 +248,13 @@ def near_groups(df: DataFrame, like: Similarity = DEFAULT, doc_id: str = "doc_id
                             .where("place > spare").select("key", "row"), "busy_rows")
     discard(lanes, busy)
     met = busy_rows.select("row").distinct().hint("merge")
-    candidates = materialize(sketched.join(met, "row", "left_semi").select("row", "doc_id", "print", F.struct(
+    candidates = materialize(lean.join(met, "row", "left_semi").select("row", "doc_id", "print", F.struct(
         "row", F.col("n_shingles").alias("n"), *[F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(SKETCH_WORDS)]
     ).alias("doc")), "candidates")
     members = materialize(busy_rows.join(candidates.select("row", "doc"), "row"), "members")
     # Large tables go as soon as nothing reads them again.
     rows = materialize(rows, "rows")
-    discard(busy_rows, sketched)
+    discard(busy_rows, lean)
     named = candidates.select("row", F.col("doc_id").alias("i"), F.col("print").alias("p")).hint("merge")
     texts = materialize(docs.join(named, docs.doc_id.eqNullSafe(named.i) & (docs.print == named.p))
                         .select("row", "text").dropDuplicates(["row"]), "candidate_texts")

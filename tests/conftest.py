@@ -13,7 +13,8 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[*]", **{
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+        # Tests read the plans of their own executions, which the whole suite would push out of the default thousand.
+        "spark.sql.ui.retainedExecutions": "20000", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -158,3 +158,22 @@ def test_base_table_without_broadcast(inputs, folders, no_broadcast):  # noqa: F
     assert want.select("incident_number", *K.RATES).exceptAll(
         folders[2].select("incident_number", *K.RATES)).count() == 0
     assert {h for h, in want.select("neighborhood").distinct().collect()} == {*HOODS, "Nowhere"}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What ``materialize`` shuffles is not left on the disks until the driver collects its garbage."""
+    import time
+
+    from emberfield.session import SHUFFLE_CLEANUP, materialize
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+            if f.getName().startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    table = materialize(spark.range(5000).repartition(3).groupBy("id").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 5000 and spark.conf.get(SHUFFLE_CLEANUP) == was
